@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import garbled, lookalikes
+from plinth.llm import garbled, leaks, lookalikes, packing
 from plinth.session import table
 
 
@@ -34,5 +34,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.spot(fields, "value", model).where(F.col("chain") != garbled.CLEAN).select("tab", "rec_id", "field")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.divided(packing.pack(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    packed = packing.pack(table(spark, d, "documents").select("doc_id", "text"))
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    least = F.ceil(F.sum("tokens") / packing.CAPACITY).cast("long")
+    return bins.agg(F.count("*").alias("containers"), least.alias("lower_bound"), F.max("tokens").alias("fullest"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found}
 SQL: dict[str, str] = {}
