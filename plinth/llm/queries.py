@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import garbled, leaks, lookalikes, packing
+from plinth.llm import abuse, garbled, leaks, lookalikes, packing
 from plinth.session import table
 
 
@@ -50,5 +50,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found}
+def _p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return abuse.scored(docs, abuse.fit(docs))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_scores(spark, d).where(F.col("score") >= 0.5).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_scores(spark, d).select("doc_id", F.round("score", 4).alias("score"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_p9_scores(spark, d).select("source", "score"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+}
 SQL: dict[str, str] = {}
