@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,23 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     return s
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver's program was started, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plinth_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="plinth-"), "plinth_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("plinth", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._plinth_shipped = True  # type: ignore[attr-defined]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
