@@ -7,10 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import abuse, garbled, leaks, lookalikes, packing
+from plinth.llm import abuse, entities, garbled, leaks, lookalikes, packing
 from plinth.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    talks = table(spark, d, "talks").where(F.col("kind").isNull())
+    rows, persons = entities.resolve(talks, table(spark, d, "people"), table(spark, d, "aliases"))
+    return rows.select("person_id", F.lit("talks").alias("tab"), F.col("row_id").alias("rec_id")).unionByName(
+        persons.select("person_id", F.lit("people").alias("tab"), F.col("other").alias("rec_id"))
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     talks = table(spark, d, "talks")
     fields = talks.select("row_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("title", "speaker_raw")])).alias("f"))
@@ -67,7 +75,9 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_p9_scores(spark, d).select("source", "score"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found,
+QUERIES = {
+    "p2_found": p2_found,
+    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 SQL: dict[str, str] = {}
