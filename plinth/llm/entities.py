@@ -21,7 +21,7 @@ repeated rows give one link each; ties of two possible bearers give no link by i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm import names
@@ -55,11 +55,13 @@ def _read_people(first: pd.Series, last: pd.Series, web: pd.Series, img: pd.Seri
 
 
 def _oriented(spelt: DataFrame) -> DataFrame:
-    """Family and given name exchanged where the corpus says so: given names have many different partners."""
+    """Family and given name exchanged where the corpus says so: given names stand first before many different names."""
     pairs = spelt.where((F.length("g") > 1) & (F.length("f") > 1)).select("g", "f").distinct()
-    partners = pairs.select(F.col("g").alias("t")).union(pairs.select(F.col("f").alias("t"))).groupBy("t").agg(F.count("*").alias("n"))
-    s = spelt.join(partners.select(F.col("t").alias("g"), F.col("n").alias("_ng")), "g", "left").join(partners.select(F.col("t").alias("f"), F.col("n").alias("_nf")), "f", "left")
-    swap = F.coalesce((F.length("g") > 1) & (F.col("_nf") >= 3 * F.coalesce("_ng", F.lit(0)) + 3), F.lit(False))
+    roles = pairs.select(F.col("g").alias("t"), F.lit(1).alias("first")).unionAll(pairs.select(F.col("f").alias("t"), F.lit(0).alias("first")))
+    roles = roles.groupBy("t").agg(F.sum("first").alias("_first"), F.count("*").alias("_all"))
+    given = roles.where(F.col("_first") >= 2 * (F.col("_all") - F.col("_first")) + 2).select(F.col("t").alias("f"), F.lit(True).alias("_given"))
+    swap = F.coalesce(F.col("_given") & (F.length("g") > 1), F.lit(False))
+    s = spelt.join(given, "f", "left")
     return s.select(
         *[c for c in spelt.columns if c not in ("g", "f")], F.when(swap, F.col("f")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("f")).alias("f")
     )
@@ -93,7 +95,7 @@ def _judge(ga: pd.Series, fa: pd.Series, gb: pd.Series, fb: pd.Series) -> pd.Ser
     return pd.Series(out, dtype="int32")
 
 
-def _evidence(nodes: DataFrame, never: DataFrame | None) -> DataFrame:
+def _evidence(nodes: DataFrame, never: DataFrame | None, tied: DataFrame | None = None) -> DataFrame:
     """(a, b, level) of spellings that may be one name: every pair that shares a block, judged once."""
     block, judge = F.pandas_udf(_block, _KEYS), F.pandas_udf(_judge, "int")  # type: ignore[call-overload]
     keyed = nodes.select("node", "g", "f", F.explode(block("g", "f")).alias("k"))
@@ -108,7 +110,10 @@ def _evidence(nodes: DataFrame, never: DataFrame | None) -> DataFrame:
     pages = nodes.select("node", F.explode("web").alias("w"))
     first = pages.groupBy("w").agg(F.min("node").alias("na"))
     same = pages.join(first, "w").where(F.col("na") != F.col("node")).select("na", F.col("node").alias("nb"), F.lit(PAGE).alias("level"))
-    return cut(pairs.unionByName(same))
+    pairs = pairs.unionByName(same)
+    if tied is not None:
+        pairs = pairs.unionByName(tied.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(PAGE).alias("level")))
+    return cut(pairs)
 
 
 def _profiles(nodes: DataFrame) -> DataFrame:
@@ -123,6 +128,8 @@ def _profiles(nodes: DataFrame) -> DataFrame:
 
 def _relabel(nodes: DataFrame, merges: DataFrame) -> DataFrame:
     """Labels of merged profiles brought to the least by minima over neighbours and pointer jumping."""
+    if merges.isEmpty():
+        return nodes
     e = cut(merges.select("a", "b").union(merges.select(F.col("b"), F.col("a"))).distinct())
     lab = e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l"))
     while True:
@@ -142,7 +149,7 @@ def _apart(x: str) -> Column:
 
 
 def _chosen(both: DataFrame, level: int) -> DataFrame:
-    """Merges (a, b) of one kind of evidence. Below SAME the lighter or bare profile needs a single possible bearer.
+    """Merges (a, b), or (weak, bearer), of one kind of evidence. Below SAME the lighter or bare profile needs a single possible bearer.
     A listing counts as four mentions."""
     lv = both.where(F.col("level") >= SAME) if level == SAME else both.where(F.col("level") == level)
     if level == SAME:
@@ -157,15 +164,28 @@ def _chosen(both: DataFrame, level: int) -> DataFrame:
     # single: no other bearer, or for typing errors (which also resemble each other) none with a third of its weight
     top = lv.groupBy("w").agg(F.count("*").alias("c"), F.max(F.struct("n", "s")).alias("top"), F.sum("n").alias("all"))
     one = top.where((F.col("c") == 1) | ((F.col("all") - F.col("top.n")) * 3 <= F.col("top.n")) if level == TYPO else F.col("c") == 1).select("w", F.col("top.s").alias("s"))
-    return one.select(F.least("w", "s").alias("a"), F.greatest("w", "s").alias("b"))
+    return one.select("w", "s")
 
 
-def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None) -> DataFrame:
-    """`nodes` (g, m, f, web: array, n, node, label) with `label` brought to that of the whole entity. Spellings are
-    judged once; a merged profile meets every profile that any of its spellings meets, under its gathered middle
-    initials, page keys and weight, until no further merge occurs."""
-    nodes = cut(nodes)
-    evidence = _evidence(nodes, never)
+def _moved(nodes: DataFrame, merges: DataFrame, level: int) -> DataFrame:
+    """Labels after a round. Profiles of the same name form cliques, so each takes the least label it meets; a weak
+    profile takes its bearer's. A second look settles chains; what is longer settles in the next round."""
+    if level == SAME:
+        both = merges.union(merges.select(F.col("b"), F.col("a")))
+        to = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("t")).select("v", F.least("v", "t").alias("t"))
+    else:
+        to = merges.toDF("v", "t")
+    to = cut(to)
+    to = to.join(to.toDF("t", "u"), "t", "left").select(F.col("v").alias("label"), F.coalesce("u", "t").alias("_l"))
+    return cut(nodes.join(to, "label", "left").withColumn("label", F.coalesce("_l", "label")).drop("_l"))
+
+
+def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None, tied: DataFrame | None = None) -> DataFrame:
+    """`nodes` (g, m, f, web: array, n, node) with `label`, common to all spellings of an entity. Spellings are judged
+    once; a merged profile meets every profile that any of its spellings meets, under its gathered middle initials,
+    page keys and weight, until no further merge occurs. `tied` (a, b) are spellings that belong together anyway."""
+    evidence = _evidence(nodes, never, tied)
+    nodes = cut(nodes.select("node", F.col("node").alias("label"), "g", "m", "f", "web", "n"))
     todo = [SAME, TYPO, INITIAL, TYPO_INITIAL]
     while todo:
         prof, lab = _profiles(nodes), nodes.select("node", "label")
@@ -181,7 +201,7 @@ def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None) -> DataF
                 break
             merges = _chosen(met, todo[0])
         if todo:
-            nodes = _relabel(nodes, merges)
+            nodes = _moved(nodes, merges, todo[0])
     return nodes
 
 
@@ -226,7 +246,7 @@ def resolve(talks: DataFrame, people: DataFrame, aliases: DataFrame | None = Non
     tied = own.groupBy("person_id").agg(F.min("node").alias("a")).join(own, "person_id").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
     if ruled is not None:
         tied = tied.union(ruled)
-    nodes = merge_and_rematch(_pretied(nodes.drop("rules"), tied), never)
+    nodes = merge_and_rematch(nodes.drop("rules"), never, tied)
     where = nodes.select("node", "label")
     entity = own.join(where, "node").select("person_id", "label").distinct()
     least = entity.groupBy("label").agg(F.min("person_id").alias("least"))
@@ -237,12 +257,6 @@ def resolve(talks: DataFrame, people: DataFrame, aliases: DataFrame | None = Non
     return rows, persons.unionByName(orgs_listed)
 
 
-def _pretied(nodes: DataFrame, tied: DataFrame) -> DataFrame:
-    """First labels: spellings that belong together from the start share one."""
-    nodes = nodes.withColumn("label", F.col("node"))
-    return nodes if tied.isEmpty() else _relabel(nodes, tied)
-
-
 def _organisations(raw: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(speaker_raw, person_id) of cells that name an organisation of the roster, and its repeated listings. A cell and
     an organisation meet only if they share a word, misspelt at most once, among the rarest three of its name."""
@@ -259,17 +273,18 @@ def _organisations(raw: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFr
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([names.org_match(list(x), list(y)) for x, y in zip(a, b)])
 
-    orgs = people.where((F.col("type") == "group") | F.col("firstname").isNull()).where(F.length(F.trim("lastname")) > 0).select("person_id", words("lastname").alias("w")).where(F.size("w") > 0)
-    orgs = cut(orgs)
+    orgs = people.where((F.col("type") == "group") | F.col("firstname").isNull()).where(F.length(F.trim("lastname")) > 0)
+    orgs = cut(orgs.select("person_id", words("lastname").alias("w")).where(F.size("w") > 0))
     each = orgs.select("person_id", F.explode(F.array_distinct("w")).alias("t"))
-    rare = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
-    rare = rare.groupBy("person_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", (-F.length("t")).alias("len"), "t"))), 1, 3).alias("r"))
-    keys = rare.select("person_id", F.explode(near_words(F.transform("r", lambda x: x.t))).alias("k"))
-    cells = raw.select("speaker_raw", words("speaker_raw").alias("w")).where(F.size("w") > 0)
-    met = cells.select("speaker_raw", "w", F.explode(near_words("w")).alias("k")).join(keys, "k").select("speaker_raw", "w", "person_id").distinct()
-    said = met.join(orgs.withColumnRenamed("w", "ow"), "person_id").where(same("w", "ow")).select("speaker_raw", "person_id")
-    listed = orgs.select(F.col("person_id").alias("a"), "w", F.explode(near_words("w")).alias("k")).join(keys.withColumnRenamed("person_id", "b"), "k").where(F.col("a") != F.col("b")).select("a", "b", "w").distinct()
-    listed = listed.join(orgs.select(F.col("person_id").alias("b"), F.col("w").alias("ow")), "b").where(same("w", "ow")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    least = listed.groupBy("y").agg(F.min("x").alias("x"))
-    said = said.join(least, said["person_id"] == least["y"], "left").select("speaker_raw", F.coalesce("x", "person_id").alias("person_id")).distinct()
-    return cut(said), least.select(F.col("x").alias("person_id"), F.col("y").alias("other"))
+    rare = each.withColumn("df", F.count("*").over(Window.partitionBy("t")))
+    rare = rare.groupBy("person_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", (-F.length("t")).alias("len"), "t"))), 1, 3).alias("r")).join(orgs, "person_id")
+    keys = rare.select("person_id", F.col("w").alias("ow"), F.explode(near_words(F.transform("r", lambda x: x.t))).alias("k"))
+    none = F.lit(None)
+    cells = raw.select("speaker_raw", none.cast("long").alias("listed"), words("speaker_raw").alias("w")).where(F.size("w") > 0)
+    cells = cells.unionByName(orgs.select(none.cast("string").alias("speaker_raw"), F.col("person_id").alias("listed"), "w"))
+    met = cells.select("speaker_raw", "listed", "w", F.explode(near_words("w")).alias("k")).join(keys, "k").drop("k").distinct()
+    met = cut(met.where(F.col("listed").isNull() | (F.col("listed") != F.col("person_id"))).where(same("w", "ow")).select("speaker_raw", "listed", "person_id"))
+    again = met.where(F.col("listed").isNotNull()).select(F.greatest("listed", "person_id").alias("y"), F.least("listed", "person_id").alias("x"))
+    least = again.groupBy("y").agg(F.min("x").alias("x"))
+    said = met.where(F.col("speaker_raw").isNotNull()).select("speaker_raw", "person_id").join(least, F.col("person_id") == F.col("y"), "left")
+    return cut(said.select("speaker_raw", F.coalesce("x", "person_id").alias("person_id")).distinct()), least.select(F.col("x").alias("person_id"), F.col("y").alias("other"))

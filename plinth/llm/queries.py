@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import abuse, entities, garbled, leaks, lookalikes, packing
+from plinth.llm import abuse, entities, garbled, leaks, lookalikes, occurrences, packing
 from plinth.session import table
 
 
@@ -19,6 +19,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _talks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "talks").where(F.col("kind").isNull())
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return occurrences.best_records(_talks(spark, d), table(spark, d, "feeds"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     talks = table(spark, d, "talks")
     fields = talks.select("row_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("title", "speaker_raw")])).alias("f"))
@@ -76,7 +84,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found,
+    "p2_found": p2_found, "p3_found": p3_found,
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
