@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import abuse, entities, garbled, leaks, lookalikes, occurrences, packing
+from plinth.llm import abuse, crosslink, entities, garbled, leaks, lookalikes, occurrences, packing
 from plinth.session import table
 
 
@@ -27,6 +27,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return occurrences.best_records(_talks(spark, d), table(spark, d, "feeds"))
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return crosslink.link(_talks(spark, d), table(spark, d, "blog_pages"), table(spark, d, "feeds"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pairs(spark, d).select("row_id", "page_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     talks = table(spark, d, "talks")
     fields = talks.select("row_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("title", "speaker_raw")])).alias("f"))
@@ -84,7 +92,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
