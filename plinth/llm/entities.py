@@ -216,7 +216,8 @@ def resolve(talks: DataFrame, people: DataFrame, aliases: DataFrame | None = Non
     web = F.regexp_extract("webpage", r"/([a-z]+(?:_[a-z]+)+\d+)/?$", 1)
     listed = (
         people.where(F.col("firstname").isNotNull() & (F.coalesce("type", F.lit("")) != "group"))
-        .select("person_id", F.when(F.length(web) > 0, F.array(web)).otherwise(F.array().cast("array<string>")).alias("web"), F.explode(read_people("firstname", "lastname", "webpage", "imgpath")).alias("p"))
+        .select("person_id", F.when(F.length(web) > 0, F.array(web)).otherwise(F.array().cast("array<string>")).alias("web"), read_people("firstname", "lastname", "webpage", "imgpath").alias("ps"))
+        .select("person_id", "web", F.explode("ps").alias("p"))
         .select("person_id", "web", "p.*")
     )
     spelt = said.select("speaker_raw", "n", F.lit(None).cast("long").alias("person_id"), F.array().cast("array<string>").alias("web"), "g", "m", "f").unionByName(
