@@ -59,10 +59,10 @@ def search_contains(s, d):
     return t.where(V.matches(X.haystack(F.col("title"), F.col("speaker_raw"), F.col("date").cast("string"), F.col("term")), " Under a fixed budget ")).select("row_id")
 
 
-@query("select term, count(*) as hits from talks where title like '%River%' group by term")
+@query("select term, count(*) as hits from talks where lower(title) like '%river%' and term is not null group by term")
 def search_sections(s, d):
     """Sections that stay visible, with their hits."""
-    hits = table(s, d, "talks").where(F.contains("title", F.lit("River")))
+    hits = table(s, d, "talks").where(V.matches(F.lower("title"), "river"))
     return V.shown(table(s, d, "terms").select("term"), hits, "term").join(hits.groupBy("term").agg(F.count("*").alias("hits")), "term")
 
 
@@ -269,7 +269,7 @@ def redirect_explode(s, d):
     return V.redirects(b, "u", "date", "slug", F.col("l"))
 
 
-@query("""select t.term, array_to_string(list_filter([case when count(t.row_id) > 0 then 'talks' end, case when max(b.k) is not null then 'pages' end], x -> x is not null), '+') as sources
+@query("""select t.term, array_to_string(list_filter([case when count(t.row_id) > 0 then 'talks' end, case when max(b.k) is not null then 'pages' end], lambda x: x is not null), '+') as sources
 from talks t left join (select distinct case when month(path_date::date)<=6 then 'spring' when month(path_date::date)=7 then 'summer' else 'fall' end || year(path_date::date)::varchar as k from blog_pages) b on b.k = t.term where t.term is not null group by 1""")
 def source_signatures(s, d):
     """R13."""
@@ -426,7 +426,32 @@ def totals_and_shares(s, d):
     return g.join(total).select("term", "n", "total", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("percent"))
 
 
-@query("select slug, count(*) as n from (select other_slug as slug from aliases) group by 1 having count(*) > 1")
+@query("select source_file, row_no, count(*) as n from talks group by 1, 2 having count(*) > 1")
 def duplicate_keys(s, d):
-    """S14 as a check on rows."""
-    return R.unique_keys(table(s, d, "aliases").select(F.col("other_slug").alias("slug")), ["slug"])
+    """S14 as a check on rows: keys that a strict load would refuse."""
+    return R.unique_keys(table(s, d, "talks"), ["source_file", "row_no"])
+
+
+def _merged(s, d):
+    from plinth.plans.merge import merge
+
+    t = table(s, d, "talks").where(F.col("kind").isNull()).withColumnRenamed("row_id", "pos")
+    cols = ["pos", "term", "date", "speaker_raw", "title", "abstract", "time", "room", "paper_url"]
+    src = lambda *feeds: t.where(F.col("feed").isin(*feeds)).select(*cols)
+    p = table(s, d, "blog_pages").select(F.col("page_id").alias("pos"), D.infer_term(F.col("path_date").cast("date")).alias("term"), F.coalesce("date", F.try_to_date("path_date")).alias("date"), "speaker_raw", "title", "abstract", "time", "room", "paper_url", "url")
+    al = table(s, d, "aliases").where(F.col("rule") == "merge").select(F.col("other_slug").alias("alias"), F.col("slug").alias("canon"))
+    rules = s.createDataFrame([("fall2019", "2019-10-01", None)], "term string, date string, speaker string").withColumn("date", F.to_date("date"))
+    index = src("corvane_blog").withColumn("href", F.col("paper_url"))
+    return merge(index, p, src("plumwell_csv", "eastmere_csv"), src("corvane_sheet", "tidal_sheet"), src("archive_scan", "oakhollow_list", "valmore_pages", "nordhaven_cal", "lindqvale_export"), al, rules)
+
+
+@query()
+def merged_talks(s, d):
+    """The staged merge over whole tables. No SQL: slugs and ordered admission."""
+    return _merged(s, d).talks.select("term", "date", "slug", "title", "abstract", "time", "room", F.array_join("sources", "+").alias("sources"))
+
+
+@query()
+def merge_conflicts(s, d):
+    """What lost against each winner of the merge."""
+    return _merged(s, d).conflicts
