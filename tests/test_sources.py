@@ -44,6 +44,13 @@ def test_csv_and_sheet(spark, tmp_path):
     assert T.block_header("Schedule (Fall 2025)\n\nTime & location: NSH 3305 2-3:30pm")["default_time"] == "2-3:30pm"
 
 
+def test_detailed_sheet(spark, tmp_path):
+    files(spark, str(tmp_path), **{"f.csv": b'date0,Name,topic,webpage,details\n9/5/2014,Jane Doe,A Topic,http://j,"<a href=""http://x/~me"">me</a><a href=""http://y/p.pdf"">p</a><strong>Location</strong>: GHC 8102 <b>Reading material: A and B, </b>"\n9/12/2014,,No meeting,,\nno date,X Y,,,\n'})
+    got = T.detailed_sheet(M.files(spark, str(tmp_path), "f.csv")).orderBy("row").collect()
+    assert [(r.kind, r.speaker_raw, r.title, r.paper_url, r.room, r.paper_authors) for r in got] == [("talk", "Jane Doe", "A Topic", "http://y/p.pdf", "GHC 8102", "A and B"), ("no_meeting", None, "No meeting", None, None, None)]
+    assert M.page_defaults("<b>Room:</b> 6121 Center (x) <b>Time:</b> 2-3 pm Wednesday SCHEDULE") == {"default_room": "6121 Center", "default_time": "2-3 pm Wednesday"}
+
+
 def test_yaml_is_strict(spark):
     df = T.from_yaml(spark, "merge:\n  a_b: [x_y, z]\n  c: []\n", "alias string, canon string", T.alias_rows)
     assert sorted(map(tuple, df.collect())) == [("x_y", "a_b"), ("z", "a_b")]
