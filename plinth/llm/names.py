@@ -42,6 +42,8 @@ def fold(text: str | None) -> str:
     """Look-alikes settled, marks dropped, lower case, single spaces; the damaged character � stays."""
     if not text:
         return ""
+    if text.isascii():
+        return " ".join(text.lower().split())
     s = lookalikes.canonical(text) or ""
     s = unicodedata.normalize("NFKD", s.translate(_PLAIN))
     return re.sub(r"\s+", " ", "".join(c for c in s if not unicodedata.combining(c)).casefold()).strip()
