@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -170,22 +171,20 @@ STRONG = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | {"smash", "choke", "ki
 _MARK = re.compile(r"[<*#@$|_\xb7’]|(.)\1\1|[0-9!][a-z]|[a-z][0-9]|\b[a-z][ .-][a-z]\b|-\n")
 
 
-def votes(passage: str) -> tuple[list[int], str]:
-    """Votes (1 abusive, -1 harmless, 0 none) and the plain form. A passage without any word of the lexicon only
-    gets the vote of `no_words`."""
+@lru_cache(maxsize=1 << 14)
+def votes(passage: str) -> tuple[tuple[int, ...], str]:
+    """Votes (1 abusive, -1 harmless, 0 none) and the plain form. Every voter reads every passage; `no_words` votes
+    where there is no word of the lexicon and no voter for "abusive" found anything."""
     low = passage.lower()
     if passage.isascii() and not _MARK.search(low):
-        if LEXICON.isdisjoint(_WORD.findall(low)):
-            return [*[0] * (len(PRO) + len(CON)), -1], low
         low, hidden = " ".join(low.split()), False
     else:
         low, hidden = plain(passage)
-    some = hidden or not LEXICON.isdisjoint(_WORD.findall(low))
-    if not some:
-        return [*[0] * (len(PRO) + len(CON)), -1], low
+    words = _WORD.findall(low)
     pro = [1 if p.search(low) else 0 for _, p in PRO]
     con = [-1 if p.search(low) else 0 for _, p in CON[:-1]]
-    return [*pro, 1 if hidden and any(w in STRONG for w in _WORD.findall(low)) else 0, *con, 0], low
+    none = not hidden and not any(pro) and LEXICON.isdisjoint(words)
+    return (*pro, 1 if hidden and any(w in STRONG for w in words) else 0, *con, -1 if none else 0), low
 
 
 def passages(text: str | None) -> list[str]:
@@ -238,7 +237,7 @@ def counts_sum(a: np.ndarray, b: np.ndarray) -> float:
     return float(a.sum() + b.sum())
 
 
-def features(low: str, vote: list[int]) -> np.ndarray:
+def features(low: str, vote: tuple[int, ...]) -> np.ndarray:
     """Hashed words, word pairs and votes."""
     w = _WORD.findall(low)
     toks = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
@@ -327,8 +326,6 @@ def scored(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray], text: str = "
             top, at = 0.0, None
             for p in passages(t):
                 v, low = votes(p)
-                if v[-1]:  # no word of the lexicon, no pattern: the classifier has only ever seen these as harmless
-                    continue
                 idx = features(low, v)
                 x = np.where(idx >= BUCKETS, 1.0, 1 / np.sqrt(len(idx) + 1))
                 z = 1 / (1 + np.exp(-float(np.clip((w[idx] * x).sum() + w[-1], -30, 30))))

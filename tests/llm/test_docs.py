@@ -75,6 +75,20 @@ def test_abuse(spark):
     assert A.scored(df.limit(0), A.fit(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Raus mit dem Ungeziefer!", "They belong in a zoo.", "Dehors les gens comme eux", "We must exterminate that sort"])
+def test_patterns_read_passages_without_lexicon_words(text):
+    assert A.LEXICON.isdisjoint(A._WORD.findall(text.lower()))
+    v, _ = A.votes(text)
+    assert 1 in v[: len(A.PRO)] and v[-1] == 0
+
+
+def test_classifier_scores_every_passage(spark):
+    rows = [(i, "s", f"Notes on rates. {b}") for i, b in enumerate(BAD * 6)] + [(1000 + i, "s", f"Slides come later. {g}") for i, g in enumerate(GOOD * 30)]
+    fitted = A.fit(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    got = {r.doc_id: r.score for r in A.scored(spark.createDataFrame([(1, "s", "Raus mit dem Ungeziefer!"), (2, "s", "Slides come later.")], "doc_id long, source string, text string"), fitted).collect()}
+    assert got[1] > 0 and 0 < got[2] < 0.5
+
+
 @pytest.mark.parametrize("text", ["", "   ", "*" * 5000, "a.b.c.d " * 2000, "​" * 3000])
 def test_votes_on_odd_texts(text):
     for p in A.passages(text):
