@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import text as X
-from plinth.session import cut
+from plinth.session import cut, within
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order; a null key is a key."""
+    """The first row of each key in the given order; a null key is a key. Spark turns the filter on the row number into a
+    group limit before the shuffle, so a hot key moves one row a partition."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
@@ -34,12 +35,17 @@ def missing(c: Column, array: bool = False) -> Column:
     return c.isNull() | (F.size(c) == 0 if array else c == "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def pick(*candidates: tuple[str, Column]) -> Column:
     """struct(source, value, conflicts): the first non-empty candidate, and every later one whose trimmed text differs."""
     arr = F.array(*[F.struct(F.lit(s).alias("source"), c.cast("string").alias("value")) for s, c in candidates])
     real = F.filter(arr, lambda x: x["value"].isNotNull() & (x["value"] != ""))
     won = F.get(real, F.lit(0))
-    lost = F.filter(real, lambda x: F.trim(x["value"]) != F.trim(won["value"]))
+    lost = F.filter(real, lambda x: stripped(x["value"]) != stripped(won["value"]))
     return F.struct(won["source"].alias("source"), won["value"].alias("value"), lost.alias("conflicts"))
 
 
@@ -86,51 +92,97 @@ def unseen(stage: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def staged_union(stages: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
-    """The first stage whole, then from each later stage the first row of every key not seen before."""
-    out = stages[0]
-    for s in stages[1:]:
-        out = out.unionByName(keep_first(unseen(s, out, keys), keys, order), allowMissingColumns=True)
-    return out
+    """The first stage whole, then from each later stage the first row of every key not seen before. One pass: rows are
+    tagged with their stage and the least (stage, order) of a key wins; Spark cuts a hot key to one row a partition
+    before the shuffle (partial window group limit)."""
+    whole = stages[0]
+    tagged = whole.select(*keys).distinct().withColumn("_stage", F.lit(0))
+    for i, s in enumerate(stages[1:], 1):
+        tagged = tagged.unionByName(s.withColumn("_stage", F.lit(i)), allowMissingColumns=True)
+    later = keep_first(tagged, keys, [F.col("_stage"), *order]).where("_stage > 0").drop("_stage")
+    return whole.unionByName(later, allowMissingColumns=True)
+
+
+#: Rows up to which what is left of a greedy admission is settled by one ordered loop in one task.
+LOOP_ROWS = 50_000
 
 
 def greedy_admission(rows: DataFrame, key: str, content: str, pos: str, seen_keys: DataFrame, seen_contents: DataFrame) -> DataFrame:
-    """`rows` with `admitted`, in order of `pos`: a row is refused if its key or content was seen, and only an admitted
-    row adds both. What an earlier stage has is settled by joins; a row whose key and content occur once is settled
-    too. The ordered loop runs apart for each connected set of what is left: sets that share neither key nor content
-    never influence each other, so no task sees more than one such set."""
-    r = rows.join(seen_keys.select(F.col(key).alias("_k"), F.lit(True).alias("_sk")).distinct(), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
-    r = r.join(seen_contents.select(F.col(content).alias("_c"), F.lit(True).alias("_sc")).distinct(), F.col(content).eqNullSafe(F.col("_c")), "left").drop("_c")
-    r = r.withColumn("_seen", F.coalesce("_sk", "_sc", F.lit(False))).drop("_sk", "_sc")
-    late = r.where("_seen").drop("_seen").withColumn("admitted", F.lit(False))
-    fresh = r.where("not _seen").drop("_seen")
-    # within one (key, content) only the first can be admitted
-    first = keep_first(fresh, [key, content], [F.col(pos)])
-    again = fresh.join(first.select(F.col(pos).alias("_p")), F.col(pos) == F.col("_p"), "left_anti").withColumn("admitted", F.lit(False))
-    lab = first.withColumn("_l", F.col(pos))
-    while True:  # least position over shared keys and contents
-        w1, w2 = Window.partitionBy(key), Window.partitionBy(content)
-        step = lab.withColumn("_n", F.min("_l").over(w1)).withColumn("_n", F.min("_n").over(w2))
-        step = cut(step)
-        if step.where("_n < _l").isEmpty():
-            lab = step.drop("_n")
-            break
-        lab = step.withColumn("_l", F.col("_n")).drop("_n")
-    schema = first.schema
+    """`rows` with `admitted`, in order of `pos` (unique): a row is refused if its key or content was seen, and only an
+    admitted row adds both. Null keys equal one another.
+
+    What an earlier stage has is refused by joins, and of equal (key, content) all but the first. Of the rest only
+    (pos, key, content) moves. A row that is first of both its key and its content is admitted, since nothing before it can
+    rule it out; what shares a key or content with it is refused. Rounds repeat on what is left, with map-side minima, until
+    at most LOOP_ROWS narrow rows remain, which one loop settles."""
+    on = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    narrow = rows.select(F.col(pos).alias("_p"), F.col(key).alias("_k"), F.col(content).alias("_c"))
+    live = narrow.join(seen_keys.select(F.col(key).alias("_x")).distinct(), on("_k", "_x"), "left_anti")
+    live = live.join(seen_contents.select(F.col(content).alias("_x")).distinct(), on("_c", "_x"), "left_anti")
+    live = cut(live.groupBy("_k", "_c").agg(F.min("_p").alias("_p")))
+    admitted = []
+    while not within(live, LOOP_ROWS):
+        by_key = live.groupBy("_k").agg(F.min("_p").alias("_p"))
+        by_content = live.groupBy("_c").agg(F.min("_p").alias("_p"))
+        firsts = cut(by_key.join(by_content, "_p"))
+        admitted.append(firsts.select("_p"))
+        live = live.join(firsts.select(F.col("_k").alias("_x")), on("_k", "_x"), "left_anti")
+        live = cut(live.join(firsts.select(F.col("_c").alias("_x")), on("_c", "_x"), "left_anti"))
 
     def loop(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, cs, ok = set(), set(), []
-        pdf = pdf.sort_values(pos)
-        for k, c in zip(pdf[key], pdf[content]):
-            good = k not in ks and c not in cs
-            ok.append(good)
-            if good:
-                ks.add(k)
-                cs.add(c)
-        return pdf.drop(columns="_l").assign(admitted=ok)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    settled = lab.groupBy("_l").applyInPandas(lambda pdf: loop(pdf), f"{fields}, admitted boolean")
-    return settled.unionByName(late).unionByName(again)
+        keys, contents, good = set(), set(), []
+        for p, k, c in pdf.sort_values("_p")[["_p", "_k", "_c"]].itertuples(index=False):
+            if k not in keys and c not in contents:
+                keys.add(k)
+                contents.add(c)
+                good.append(p)
+        return pd.DataFrame({"_p": good})
+
+    kind = live.schema["_p"].dataType.simpleString()
+    settled = live.withColumns({c: F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))) for c in ("_k", "_c")}).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(loop, f"_p {kind}")
+    good = reduce(DataFrame.union, admitted, settled).withColumn("_ok", F.lit(True))
+    return rows.join(good, F.col(pos) == F.col("_p"), "left").withColumn("admitted", F.coalesce("_ok", F.lit(False))).drop("_p", "_ok")
+
+
+#: What `near_pairs` compares strings by: runs of at most so many letters.
+GRAM = 3
+
+
+def _bound(n: Column, m: Column, bar: float) -> tuple[Column, Column]:
+    """(q, t): two strings of n and m letters with a ratio of `bar` share at least t runs of q letters, repeats counted. The
+    ratio fixes how many letters match; every gap between matching blocks takes an unmatched letter of one side, so there
+    are at most (n - M) + (m - M) + 1 blocks, and a block of b letters holds b - q + 1 runs."""
+    match = F.ceil((n + m) * (bar / 2) - 1e-9)
+    blocks = n + m - 2 * match + 1
+    q = F.least(F.lit(GRAM), F.floor((match - 1) / blocks) + 1)
+    return q.cast("int"), (match - (q - 1) * blocks).cast("int")
+
+
+def near_pairs(df: DataFrame, col: str, bar: float) -> DataFrame:
+    """(a, b, ratio) of all pairs a < b of distinct values whose ratio (in that order) reaches `bar`. Candidates meet on
+    the rarest of their runs of letters: with t runs in common by `_bound`, two strings share one among all but t - 1 of
+    each side's runs in any common order. Exact; values without partner of a fitting length meet nobody."""
+    v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct().withColumn("n", F.length("v"))
+    partners = F.sequence(F.ceil(F.col("n") * (bar / (2 - bar)) - 1e-9).cast("int"), F.floor(F.col("n") * ((2 - bar) / bar) + 1e-9).cast("int"))
+    fits = F.filter(F.transform(partners, lambda m: F.struct(_bound(F.col("n"), m, bar)[0].alias("q"), _bound(F.col("n"), m, bar)[1].alias("t"), (F.ceil((F.col("n") + m) * (bar / 2) - 1e-9) <= F.least(F.col("n"), m)).alias("ok"))), lambda x: x["ok"])
+    v = v.where("n > 0").select("v", "n", F.explode(F.array_distinct(F.transform(fits, lambda x: x["q"]))).alias("q"), fits.alias("fits"))
+    v = v.select("v", "n", "q", F.array_min(F.transform(F.filter("fits", lambda x: x["q"] == F.col("q")), lambda x: x["t"])).alias("t")).where(F.col("n") >= F.col("q"))
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring(F.col("v"), i, F.col("q")))
+    runs = v.select("v", "n", "q", "t", F.posexplode(runs).alias("i", "run"))
+    nth = F.row_number().over(Window.partitionBy("v", "q", "run").orderBy("i"))
+    runs = cut(runs.select("v", "n", "q", "t", "run", nth.alias("nth")))
+    counts = runs.groupBy("q", "run", "nth").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("v", "q").orderBy("df", "run", "nth"))
+    kept = runs.join(counts, ["q", "run", "nth"]).withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.col("q") + 1 - F.col("t") + 1)
+    kept = cut(kept.select("v", "n", "q", F.xxhash64("q", "run", "nth").alias("run")))
+    x, y = (kept.select("q", "run", F.col("v").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    met = x.join(y, ["q", "run"]).where((F.col("a") < F.col("b")) & (_bound(F.col("na"), F.col("nb"), bar)[0] == F.col("q")) & (F.ceil((F.col("na") + F.col("nb")) * (bar / 2) - 1e-9) <= F.least("na", "nb")))
+    pairs = met.select("a", "b").distinct()
+    # letters in common, whatever their order, bound the ratio from above
+    letters = [(s, F.split(s, "")) for s in ("a", "b")]
+    shared = F.size("la") - F.size(F.array_except(F.transform("la", lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.col("la"), F.lit(1), i), lambda z: z == x)).cast("string"))), F.transform("lb", lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.col("lb"), F.lit(1), i), lambda z: z == x)).cast("string")))))
+    pairs = pairs.withColumns({f"l{s}": e for s, e in letters}).where(2 * shared >= (bar - 1e-9) * (F.size("la") + F.size("lb"))).select("a", "b")
+    return pairs.withColumn("ratio", X.similarity("a", "b")).where(F.col("ratio") >= bar).withColumn("ratio", F.round("ratio", 6))
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:

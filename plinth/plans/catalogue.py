@@ -11,6 +11,7 @@ from plinth.functions import dates as D
 from plinth.functions import text as X
 from plinth.operators import reconcile as R
 from plinth.operators import views as V
+from plinth.plans.merge import merge
 from plinth.session import table
 from plinth.sources import tables as T
 
@@ -220,26 +221,11 @@ def byline_join(s, d):
 
 @query()
 def near_name_pairs(s, d):
-    """Pairs of the hand-made slugs and roster slugs alike by 0.86 or more. A pair that far alike shares a
-    rare piece: candidates meet on one of three-letter pieces kept after setting aside what cannot reach the bar."""
-    p = table(s, d, "people").where(F.col("firstname").isNotNull()).select(X.slugify(F.concat_ws(" ", "firstname", "lastname")).alias("slug")).where("slug is not null").distinct()
-    return near_pairs(p, "slug", 0.86)
-
-
-def near_pairs(df: DataFrame, col: str, bar: float) -> DataFrame:
-    """(a, b, ratio) with a < b. Ratio 2M/(la+lb) >= bar bounds both the lengths and the letters not in common: two
-    strings of n letters differ in at most k = (1 - bar) * n positions of the longer, so of k + 1 equal pieces of one,
-    one is left whole in the other. Pieces of the shorter are joined to substrings of the longer of the same length."""
-    n = F.length(col)
-    # the number of unmatched letters of the shorter string is at most (1 - bar) / bar * its length
-    k = F.floor(n * ((1 - bar) / bar)).cast("int") + 1
-    size = F.greatest(F.floor(n / (k + 1)), F.lit(1)).cast("int")
-    pieces = df.select(F.col(col).alias("a"), F.explode(F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(F.col(col), (i * size + 1).cast("int"), size))).alias("piece"), n.alias("la"))
-    grams = df.select(F.col(col).alias("b"), n.alias("lb"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(12))))).alias("m"))
-    grams = grams.select("b", "lb", F.explode(F.transform(F.sequence(F.lit(1), F.col("lb") - F.col("m") + 1), lambda i: F.substring(F.col("b"), i, F.col("m")))).alias("piece")).distinct()
-    met = pieces.distinct().join(grams, "piece").where((F.col("a") != F.col("b")) & (F.col("la") <= F.col("lb")) & (2 * F.col("la") >= bar * (F.col("la") + F.col("lb"))))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.withColumn("ratio", F.round(X.similarity(F.col("a"), F.col("b")), 6)).where(F.col("ratio") >= bar)
+    """Pairs of hand-made slugs and roster slugs alike by 0.86 or more; no SQL: sequence similarity."""
+    p = table(s, d, "people").where(F.col("firstname").isNotNull()).select(X.slugify(F.concat_ws(" ", "firstname", "lastname")).alias("slug"))
+    a = table(s, d, "aliases")
+    p = p.union(a.select("slug")).union(a.select("other_slug"))
+    return R.near_pairs(p, "slug", 0.86)
 
 
 @query("select lower(trim(speaker_raw)) as slug, list_sort(list(distinct speaker_raw)) as forms from talks where speaker_raw is not null group by 1 having count(distinct speaker_raw) > 1")
@@ -301,7 +287,7 @@ def split_names(s, d):
 when regexp_matches(speaker_raw, '(?i)\\b(no\\s*meeting|no\\s*class|fall\\s*break|spring\\s*break|thanksgiving|democracy\\s*day|holiday|winter\\s*break|recess)\\b') then 'no_meeting' else 'talk' end as kind from talks""")
 def classify_rows(s, d):
     """X20 X34 F13."""
-    return table(s, d, "talks").select("row_id", X.classify_row("speaker_raw").alias("k")).select("row_id", "k.kind")
+    return table(s, d, "talks").select("row_id", X.classify_row(X.spaced("speaker_raw")).alias("k")).select("row_id", "k.kind")
 
 
 @query("select term, lower(replace(term_name, ' ', '')) as made, lower(replace(term_name, ' ', '')) = term as same from terms")
@@ -314,8 +300,7 @@ def term_keys(s, d):
 def date_formats(s, d):
     """T-1 T-2 T-3 S20: the limited parser over every cell as typed, the year from the term."""
     t = table(s, d, "talks")
-    year = F.regexp_extract("term", r"(\d{4})", 1).try_cast("int")
-    return t.select("row_id", X.mapped(lambda a, b: (lambda r: r.isoformat() if r else None)(D.day_of(a, None if b is None or b != b else int(b))), "string")(F.col("date_raw"), year).alias("day"))
+    return t.select("row_id", D.parse_date(X.spaced("date_raw"), D.year_of(F.col("term"))).cast("string").alias("day"))
 
 
 @query("select page_id, coalesce(lower(dayname(date)) = lower(trim(weekday)), true) as ok, coalesce(date = path_date::date, false) as on_path from blog_pages")
@@ -393,10 +378,10 @@ def display_rule(s, d):
 def placeholder_nulling(s, d):
     """The two sets differ."""
     e = lambda c, v: F.when(F.upper(F.trim(c)).isin(*v), F.lit("")).otherwise(F.col(c)).alias(c)
-    return table(s, d, "talks").select("row_id", e("title", sorted(T.NO_TITLE)), e("abstract", sorted(T.NO_ABSTRACT)))
+    return table(s, d, "talks").select("row_id", e("title", T.NO_TITLE), e("abstract", T.NO_ABSTRACT))
 
 
-@query("""with p as (select person_id, trim(concat_ws(' ', nullif(firstname,''), nullif(lastname,''))) as name, lower(trim(type)) as t, nullif(trim(position),'') as pos, nullif(trim(affiliation1),'') as a1, nullif(trim(webpage),'') as w, case when lower(trim(imgpath)) <> 'none' then nullif(trim(imgpath),'') end as img from people)
+@query("""with p as (select person_id, trim(regexp_replace(concat_ws(' ', nullif(firstname,''), nullif(lastname,'')), '[\\s\\p{Z}\\x1c-\\x1f\\x85]+', ' ', 'g')) as name, lower(trim(type)) as t, nullif(trim(position),'') as pos, nullif(trim(affiliation1),'') as a1, nullif(trim(webpage),'') as w, case when lower(trim(imgpath)) <> 'none' then nullif(trim(imgpath),'') end as img from people)
 select person_id, name, case when t in ('faculty','postdoc','student','alumni') then t end as roster, case when coalesce(lower(pos) <> 'deceased', true) then pos end as position, case when a1 is distinct from pos then a1 end as affiliation,
 regexp_replace(case when starts_with(w, 'http') then w else 'https://' || regexp_replace(w, '^/+', '') end, '^http://', 'https://') as url, case when t = 'faculty' then '/assets/people/' || regexp_replace(split_part(img, '/', -1), '\\.[^.]*$', '') || '.jpg' end as img from p where length(name) > 0""")
 def roster_corrections(s, d):
@@ -433,22 +418,25 @@ def duplicate_keys(s, d):
 
 
 def _merged(s, d):
-    from plinth.plans.merge import merge
-
-    t = table(s, d, "talks").where(F.col("kind").isNull()).withColumnRenamed("row_id", "pos")
-    cols = ["pos", "term", "date", "speaker_raw", "title", "abstract", "time", "room", "paper_url"]
-    src = lambda *feeds: t.where(F.col("feed").isin(*feeds)).select(*cols)
-    p = table(s, d, "blog_pages").select(F.col("page_id").alias("pos"), D.infer_term(F.col("path_date").cast("date")).alias("term"), F.coalesce("date", F.try_to_date("path_date")).alias("date"), "speaker_raw", "title", "abstract", "time", "room", "paper_url", "url")
+    """The feeds of the archive as the five sources: two feeds that link their pages as index, legacy pages, CSV feeds,
+    sheets with rows of every kind, and scanned lists as tables."""
+    t = table(s, d, "talks").withColumnRenamed("row_id", "pos")
+    of = lambda *feeds: t.where(F.col("feed").isin(*feeds))
+    pages = table(s, d, "blog_pages").select(F.col("page_id").alias("pos"), F.try_to_date("path_date").alias("path_date"), "url", "speaker_raw", "title", "abstract", "time", "room", "weekday", "paper_url", "latex", "feed", "date")
+    # an index entry names the page of its feed and day
+    links = pages.where(F.col("date").isNotNull()).groupBy("feed", "date").agg(F.min_by("url", "pos").alias("href"))
+    index = of("corvane_blog", "archive_scan").join(links, ["feed", "date"], "left").withColumn("kind", F.coalesce("kind", F.lit("talk")))
     al = table(s, d, "aliases").where(F.col("rule") == "merge").select(F.col("other_slug").alias("alias"), F.col("slug").alias("canon"))
     rules = s.createDataFrame([("fall2019", "2019-10-01", None)], "term string, date string, speaker string").withColumn("date", F.to_date("date"))
-    index = src("corvane_blog").withColumn("href", F.col("paper_url"))
-    return merge(index, p, src("plumwell_csv", "eastmere_csv"), src("corvane_sheet", "tidal_sheet"), src("archive_scan", "oakhollow_list", "valmore_pages", "nordhaven_cal", "lindqvale_export"), al, rules)
+    sheet = of("corvane_sheet", "tidal_sheet").withColumns({"label": F.when(F.col("kind").isNotNull(), F.col("speaker_raw"))})
+    return merge(index, pages, of("plumwell_csv", "eastmere_csv").where("kind is null"), sheet, of("oakhollow_list", "valmore_pages", "nordhaven_cal", "lindqvale_export").where("kind is null"), al, rules)
 
 
 @query()
 def merged_talks(s, d):
-    """The staged merge over whole tables. No SQL: slugs and ordered admission."""
-    return _merged(s, d).talks.select("term", "date", "slug", "title", "abstract", "time", "room", F.array_join("sources", "+").alias("sources"))
+    """The staged merge over whole tables. No SQL: slugs and ordered admission."""
+    t = _merged(s, d).talks
+    return t.select("term", "kind", "date", F.array_join("speakers", ";").alias("speakers"), "title", "abstract", "time", "room", "weekday_override", "paper_url", F.array_join("legacy_urls", " ").alias("legacy_urls"), "recovered", F.array_join("sources", "+").alias("sources"))
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -14,7 +15,7 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     """A session for tests and benches. A cluster brings its own."""
     b = (
         SparkSession.builder.master(master).appName("plinth").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -45,11 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
-    Only where that is unset (tests on one machine) a temporary folder is taken."""
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir. Where that is
+    unset, a temporary folder serves a single machine; on a cluster it is an error. Spark removes a checkpoint with its
+    last reference if the cluster sets spark.cleaner.referenceTracking.cleanCheckpoints, as `session` does."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "plinth-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "plinth-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -58,6 +63,11 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only behind a check of the size; beyond the bound the plan stays Spark's to choose."""
-    return F.broadcast(df) if within(df, rows) else df
+def small(df: DataFrame, rows: int, bytes_each: int | None = None) -> DataFrame:
+    """A broadcast hint only behind a check of the size: at most `rows` rows and, where `bytes_each` is given, no row longer
+    than that. Beyond the bound the plan stays Spark's to choose."""
+    if not within(df, rows):
+        return df
+    if bytes_each is not None and df.where(F.length(F.to_json(F.struct(*df.columns))) > bytes_each).limit(1).count():
+        return df
+    return F.broadcast(df)

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -5,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plinth.operators import reconcile as R
 from plinth.operators import views as V
-from plinth.plans.catalogue import near_pairs
 
 
 def rows(df):
@@ -67,12 +67,43 @@ def test_display_rule_and_search(spark):
     assert t.where(V.matches(F.col("t"), " 100% ")).count() == 1 and t.where(V.matches(F.col("t"), " ")).count() == 3
 
 
-def test_near_pairs_match_brute_force(spark):
-    import difflib
+def brute(words, bar):
+    return sorted((a, b) for a in words for b in words if a < b and difflib.SequenceMatcher(None, a, b).ratio() >= bar)
 
+
+@pytest.mark.parametrize("bar", [0.86, 0.7])
+def test_near_pairs_match_brute_force(spark, bar):
+    """Words with several edits anywhere, among them letters inserted in the longer one."""
     rnd = random.Random(3)
-    base = ["anna_kowalska", "bob_smith", "maria_de_la_cruz", "jo_li", "xi", "theodore_flounwala"]
-    words = {b[: (k := rnd.randrange(len(b)))] + rnd.choice("abcxyz_") + b[k + rnd.randint(0, 1) :] for b in base for _ in range(12)} | set(base)
-    want = sorted((a, b) for a in words for b in words if a < b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.86)
-    got = near_pairs(spark.createDataFrame([(w,) for w in words], "slug string"), "slug", 0.86)
-    assert rows(got.select("a", "b")) == want
+    base = ["anna_kowalska", "bob_smith", "maria_de_la_cruz", "jo_li", "xi", "theodore_flounwala", "abcdefghij", "ananananan", "abcd", "q"]
+    words = set(base) | {"abxcdexfgxhij", "axbcdxefgxhijxklm", "abcdefghijklm", "abxcd"}
+    for b in base:
+        for _ in range(14):
+            w = b
+            for _ in range(rnd.randint(1, 4)):
+                k = rnd.randrange(len(w) + 1)
+                w = w[:k] + rnd.choice(["", "a", "x", "_"]) + w[k + rnd.randint(0, 1) :]
+            words.add(w)
+    words.discard("")
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), ("q",)], "slug string")
+    assert rows(R.near_pairs(df, "slug", bar).select("a", "b")) == brute(words, bar)
+
+
+def test_greedy_rounds(spark, monkeypatch):
+    """The same result where rounds, not the last loop, settle the rows."""
+    monkeypatch.setattr(R, "LOOP_ROWS", 10)
+    rnd = random.Random(8)
+    data = [(i, rnd.choice([None, *"abcdefghijklmnop"]) or None, f"c{rnd.randint(0, 40)}") for i in range(150)] + [(200 + i, f"k{i // 2}", f"x{(i + 1) // 2}") for i in range(24)]
+    ks, cs, want = set(), set(), []
+    for p, k, c in data:
+        good = k not in ks and c not in cs
+        want.append((p, good))
+        if good:
+            ks.add(k), cs.add(c)
+    df = spark.createDataFrame(data, "pos int, k string, c string").repartition(3)
+    assert rows(R.greedy_admission(df, "k", "c", "pos", df.limit(0), df.limit(0)).select("pos", "admitted")) == want
+
+
+def test_staged_union(spark):
+    st = [spark.createDataFrame(x, "k string, p int") for x in ([("a", 1), ("a", 2), (None, 3)], [("a", 4), ("b", 6), ("b", 5), (None, 7)], [("b", 8), ("c", 9)])]
+    assert sorted(r.p for r in R.staged_union(st, ["k"], [F.col("p")]).collect()) == [1, 2, 3, 5, 9]
