@@ -124,12 +124,14 @@ def invert(text: str, chain: str) -> str | None:
     """The text before the chain, or None where the chain cannot be undone strictly."""
     steps = CHAINS[chain]
     if steps[0][0] != "utf-8":
+        if not _ODD.search(text):
+            return None
         right, wrong = steps[0]
         try:
             back = re.sub(r"[^\x00-\x7f]+", lambda m: m.group().encode(wrong).decode(right), text)
         except (UnicodeEncodeError, UnicodeDecodeError):
             return None
-        return back if back != text and _ODD.search(text) else None
+        return back if back != text else None
     for n, (_, wrong) in reversed(list(enumerate(steps))):
         nxt = _unread(text, wrong, n == 0)
         if nxt is None:

@@ -51,21 +51,25 @@ VARIANT = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "
 @lru_cache(maxsize=1)
 def _unstable() -> tuple[re.Pattern, frozenset[str], frozenset[str]]:
     """Scan pattern, characters that are not a boundary, and variants, all derived from the character database."""
-    loose, variants, hits = [], [], []
+    loose, variants, hits, seconds = [], [], [], set()
     for o in range(0x80, sys.maxunicode + 1):
         c = chr(o)
         cat = ud.category(c)
         if cat in ("Cn", "Cs", "Co"):
             continue
         d = ud.decomposition(c)
+        if d and not d.startswith("<") and " " in d and ud.normalize("NFC", c) == c:
+            seconds.add(chr(int(d.split()[1], 16)))  # composes with what stands before it, mark or not
         if ud.combining(c) or 0x1161 <= o <= 0x11FF:
             loose.append(c)
         if d.startswith(VARIANT) or 0xFB00 <= o <= 0xFB06 or 0xFB13 <= o <= 0xFB17 or 0x2160 <= o <= 0x217F or 0x1C4 <= o <= 0x1CC:
             variants.append(c)
         elif d and not d.startswith("<") and ud.normalize("NFC", c) != c:
             hits.append(c)
-    cls = "[" + "".join(re.escape(c) for c in (*loose, *variants, *hits)) + "]"
-    return re.compile(cls), frozenset(loose), frozenset(variants)
+    tied = seconds.union(loose)
+    tied |= {c for c in variants if ud.normalize("NFKC", c)[0] in tied}  # a variant of such a character
+    cls = "[" + "".join(re.escape(c) for c in sorted(tied.union(variants, hits))) + "]"
+    return re.compile(cls), frozenset(tied), frozenset(variants)
 
 
 def _segments(text: str) -> str:
@@ -140,8 +144,14 @@ def _letters(text: str) -> str:
     return _WORD.sub(lambda m: _word(m.group(), home), text)
 
 
+#: Every wrong reading of UTF-8 leaves characters beyond ASCII side by side, or a lone Ã.
+_RUN = re.compile(r"[^\x00-\x7f]{2}|Ã")
+
+
 def _undamaged(text: str) -> str:
     """The text with runs left by a wrong decoding restored, by strict inversion only."""
+    if not _RUN.search(text):
+        return text
     for chain, steps in garbled.CHAINS.items():
         if steps[0][0] == "utf-8" and "twice" in chain:
             back = garbled.invert(text, chain)
@@ -155,9 +165,13 @@ def _undamaged(text: str) -> str:
     return text
 
 
+#: Precomposed Latin letters and typographic marks that are plain as they stand.
+_QUIET = re.compile(r"[\x00-\x7f\xa1-\xac\xae-\u0131\u0134-\u017e\u2010-\u2027\u2030-\u203a]*")
+
+
 def canonical(text: str | None) -> str | None:
     """The plain form of a text; what a wrong decoding left is not touched here."""
-    if not text or text.isascii():
+    if not text or text.isascii() or _QUIET.fullmatch(text):
         return text
     if _GONE.search(text):
         keep = {m.end() - 1 for m in _JOINER.finditer(text)}

@@ -38,17 +38,24 @@ PLACE = re.compile(
 _SPLIT = re.compile(r"\s*(?:;|&|\||\+|/|\band\b|\bund\b|\bet\b|\bwith\b)\s*")
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def fold(text: str | None) -> str:
     """Look-alikes settled, marks dropped, lower case, single spaces; the damaged character � stays."""
     if not text:
         return ""
     if text.isascii():
         return " ".join(text.lower().split())
-    s = lookalikes.canonical(text) or ""
-    s = unicodedata.normalize("NFKD", s.translate(_PLAIN))
-    return re.sub(r"\s+", " ", "".join(c for c in s if not unicodedata.combining(c)).casefold()).strip()
+    s = unicodedata.normalize("NFKD", (lookalikes.canonical(text) or "").translate(_PLAIN))
+    if not s.isascii():
+        s = _MARKS.sub("", s)
+        if not s.isascii():
+            s = "".join(c for c in s if not unicodedata.combining(c))
+    return " ".join(s.casefold().split())
 
 
+@lru_cache(maxsize=1 << 15)
 def parts(name: str) -> tuple[str, str, str] | None:
     """(given, middle initials, family) of one folded name; None where there is no family name."""
     name = _HONOUR.sub("", _TITLE.sub("", name.strip(" .,-")))
@@ -179,6 +186,11 @@ def org_tokens(text: str) -> list[str]:
     return [t for t in re.findall(r"[^\W\d_]+", fold(text)) if t not in _STOP]
 
 
+@lru_cache(maxsize=1 << 15)
+def _org(folded: str) -> tuple[str, ...]:
+    return tuple(org_tokens(folded))
+
+
 def _token(t: str, o: str) -> int:
     """2 the word itself or a typing error, 1 an abbreviation, 0 another word."""
     if t == o or len(o) >= 5 and len(t) >= 4 and near(t, o):

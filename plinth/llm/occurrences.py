@@ -1,17 +1,21 @@
 """Rows of one table that record the same talk, and the best record of each group.
 
-Grouping. Rows that say the same (day, term, title, speakers) are one node. Nodes meet on day and family name (one
-letter may be missing), or on day and the first letters of the title; nodes without a day meet on term and title.
-Two nodes are one talk if a speaker agrees and the titles agree, one may be cut. A node without title, or without
-day, joins the one talk it can belong to; where there are several it stays alone.
-
-Best record (method). Values that stand or fall together form bundles: a value, its cut forms and its copies. Whole
-bundles are chosen by branch and bound, field by field: the objective prefers complete values, then the latest
-ingested, then the most trusted feed; the functional dependencies are that no cut form may survive beside what
-completes it, and that a placeholder is no value.
-
-Scale. Row-wise maps and joins on narrow keys (day with name, day with title start); values are made distinct per
-group and field before they are gathered, so a talk read a million times is gathered as its few values.
+Grouping. Rows that say the same (day, term, title, speakers) are one node. Nodes meet on day and a word of a speaker's
+name (one letter of a family name may be missing); a node without speaker meets on day and a piece of the title; nodes
+without a day meet within their term on the same keys. Two nodes are one talk if a speaker agrees and the titles agree,
+one may be cut. A node without title, or without day, joins the one talk it can belong to; where there are several it
+stays alone.
+
+Best record (method). Fields that depend on each other form bundles: title and abstract, room and time. A candidate for a
+bundle is one source record taken whole; what it lacks, or has only cut, is filled from the best record that is
+consistent with it. A functional dependency binds across fields and bundles: every value comes from a record whose
+title, where it has one, is the surviving title. Of all combinations of candidates, one a bundle, branch and bound finds
+the one of most trust; the trust of a value is its rank among the group's values of the field: whole before cut, then
+the last ingested, then the most trusted feed, then the least row.
+
+Scale. Row-wise maps and joins on narrow hashed keys. Records of a group are made distinct on (title, abstract, whether
+there is a room, a time) before they are gathered, the last ingested standing for the rest, so a talk read a million
+times is gathered as its few spellings.
 
 Defined results: null, blank and placeholder values never survive; a group without real value in a field has no
 row for it; a single row is no group; ties go to the smallest row_id.
@@ -23,23 +27,32 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import garbled, lookalikes, names
 from plinth.llm.entities import _relabel
 from plinth.operators.timestamps import stamped, year_in
-from plinth.session import cut
+from plinth.session import cut, small
 
 FIELDS = ("title", "abstract", "room", "time")
-# Placeholders in plain form.
+#: Feeds up to which their table is broadcast.
+FEEDS = 10_000
+BUNDLES = (("title", "abstract"), ("room", "time"))
+# Placeholders in plain form; title words that say nothing.
 PLACEHOLDERS = {"", "na", "n/a", "n.a", "n.a.", "tba", "tbd", "tbc", "none", "null", "nil", "nan", "-", "--", "---", "—", "–", "?", "??", "???", "x", "xxx", ".", "...", "…", "unknown", "to be announced", "to be determined",
                 "to be confirmed", "date to be announced", "see website", "no title", "untitled", "title tba", "title to be announced", "not available", "n.n.", "nn", "pending", "room tba", "time tba", "abstract tba", "no abstract", "-tba-", "(tba)", "[tba]", "t.b.a.", "t.b.d.", "coming soon", "see above", "missing"}
+_DROP = {"a", "an", "the", "of", "on", "for", "in", "with", "and", "to", "from", "under", "note", "talk", "s"}
 _CUT = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|more|cut|truncated)\s*\]|\(\s*(?:\.\.\.|…|more|cut|truncated)\s*\)|\.{2,}|…)\s*$", re.I)
+_LABEL = re.compile(r"^(?:\[[^\]]{1,12}\]|(?:talk|title|seminar|paper)\s*:)\s*")
 
 
 def is_placeholder(v: str | None) -> bool:
-    return v is None or re.sub(r"\s+", " ", lookalikes.canonical(v)).strip().lower() in PLACEHOLDERS
+    if v is None:
+        return True
+    if len(v) > 60 and sum(map(str.isalnum, v)) > 30:  # longer than any placeholder
+        return False
+    return " ".join((lookalikes.canonical(v) or "").lower().split()) in PLACEHOLDERS
 
 
 def restored(v: str) -> str:
@@ -52,18 +65,23 @@ def restored(v: str) -> str:
     return back
 
 
+def title_forms(v: str | None) -> tuple[str, list[str]]:
+    """(letters and digits, words that say something) of a title, repaired and folded, without cut mark and label before
+    it; nothing for a placeholder."""
+    if not isinstance(v, str) or is_placeholder(v):
+        return "", []
+    s = _LABEL.sub("", _CUT.sub("", names.fold(restored(v)))).replace("�", "")
+    return re.sub(r"[\W_]+", "", s), [w for w in re.findall(r"[^\W_]+", s) if w not in _DROP]
+
+
 def squeezed(v: str | None) -> str:
-    """Letters and digits of a title, repaired and folded; cut marks and labels before it removed."""
     if not v:
         return ""
-    s = _CUT.sub("", names.fold(restored(v)))
-    s = re.sub(r"^(?:\[[^\]]{1,12}\]|talk|title|seminar|paper)\s*:?\s+", "", s) if re.match(r"^(?:\[|(?:talk|title)\s*:)", s) else s
-    return re.sub(r"[\W_]+", "", s.replace("�", ""))
+    return re.sub(r"[\W_]+", "", _LABEL.sub("", _CUT.sub("", names.fold(restored(v)))).replace("�", ""))
 
 
-def _part(s: str) -> str:
-    m = re.search(r"(?:part|session|lecture|lesson|vol|no|week|teil|partie)?(\d+|[ivx]{1,4})$", s)
-    return m.group(1) if m else ""
+_NUMBER_TAIL = re.compile(r"\d+|[ivx]+|part[ivx\d]+")
+_DIGITS_LAST = re.compile(r"\d+$")
 
 
 def titles_agree(a: str, b: str) -> bool:
@@ -75,12 +93,13 @@ def titles_agree(a: str, b: str) -> bool:
     if len(a) > len(b):
         a, b = b, a
     if len(a) >= 10 and b.startswith(a):
-        return not re.fullmatch(r"\d+|[ivx]+|part[ivx\d]+", b[len(a):])
-    if re.search(r"\d$", a) and re.search(r"\d$", b) and re.search(r"\d+$", a).group() != re.search(r"\d+$", b).group():
-        return False
-    head = b[: len(a)] if len(a) < 0.9 * len(b) else b
+        return not _NUMBER_TAIL.fullmatch(b[len(a) :])
     if len(a) < 8:
         return False
+    x, y = _DIGITS_LAST.search(a), _DIGITS_LAST.search(b)
+    if x and y and x.group() != y.group():
+        return False
+    head = b[: len(a)] if len(a) < 0.9 * len(b) else b
     m = difflib.SequenceMatcher(None, a, head, autojunk=False)
     return m.quick_ratio() >= 0.88 and m.ratio() >= 0.9
 
@@ -96,89 +115,107 @@ def speakers_agree(a: list[str], b: list[str]) -> bool:
             for p, q in ((px, py), (px and (px[2], px[1], px[0]), py)):
                 if p and q and p[2] and q[2] and (p[2] == q[2] or min(len(p[2]), len(q[2])) >= 4 and names.near(p[2], q[2])) and names.given_level(p[0], q[0]):
                     return True
-            tx, ty = names.org_tokens(x), names.org_tokens(y)
-            if max(len(tx), len(ty)) >= 3 and (names.org_match(tx, ty) or names.org_match(ty, tx)):
+            tx, ty = names._org(x), names._org(y)
+            if max(len(tx), len(ty)) >= 3 and (names.org_match(list(tx), list(ty)) or names.org_match(list(ty), list(tx))):
                 return True
     return False
 
 
 def name_keys(cell: list[str]) -> list[str]:
-    """Every word of a cell, and the family names with one letter missing."""
+    """Every word of a cell, and every longer one with one letter missing: names that agree share one of these."""
     keys: set[str] = set()
     for n in cell:
+        for w in re.findall(r"[^\W\d_]{2,}", n):
+            keys.update(names.deletions(w))
         p = names.parts(n)
-        keys.update(re.findall(r"[^\W\d_]{3,}", n))
-        if p and len(p[2]) >= 5:
+        if p and len(p[2]) >= 4:  # of several words
             keys.update(names.deletions(p[2]))
     return sorted(keys)
 
 
-def prepared(records: DataFrame, feeds: DataFrame, raw: str, year: str) -> DataFrame:
-    """`records` with canon, day (local to the feed), said (speakers) and squeezed title `st`."""
+def _forms():
+    @F.pandas_udf("st string, w array<string>")  # type: ignore[call-overload]
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([title_forms(x) for x in s], columns=["st", "w"])
 
+    return run
+
+
+def _said():
     @F.pandas_udf("array<string>")  # type: ignore[call-overload]
-    def said(s: pd.Series) -> pd.Series:
-        return pd.Series([names.speakers(x) if isinstance(x, str) and not is_placeholder(x) else [] for x in s])
+    def run(s: pd.Series) -> pd.Series:
+        known: dict = {}
+        for x in s:
+            if x not in known:
+                known[x] = names.speakers(x) if isinstance(x, str) and not is_placeholder(x) else []
+        return pd.Series([known[x] for x in s])
+
+    return run
 
-    @F.pandas_udf("string")  # type: ignore[call-overload]
-    def short(s: pd.Series) -> pd.Series:
-        return pd.Series(["" if not isinstance(x, str) or is_placeholder(x) else squeezed(x) for x in s], dtype=object)
 
-    r = records.join(feeds.select("feed", "zone", "date_order", "trust_rank"), "feed", "left")
+def prepared(records: DataFrame, feeds: DataFrame, raw: str, year: str) -> DataFrame:
+    """`records` with day (local to the feed), said (speakers), st (squeezed title) and w (title words)."""
+    r = records.join(small(feeds.select("feed", "zone", "date_order"), FEEDS), "feed", "left")
     r = stamped(r, F.col(raw), F.col("zone"), F.col("date_order"), year_in(F.col(year)))
     local = F.when(F.length("canon") > 10, F.date_format(F.from_utc_timestamp(F.try_to_timestamp(F.rtrim(F.regexp_replace("canon", "[TZ]", " ")), F.lit("yyyy-MM-dd HH:mm")), F.col("zone")), "yyyy-MM-dd")).otherwise(F.col("canon"))
-    return r.withColumn("day", local).withColumn("said", said("speaker_raw")).withColumn("st", short("title"))
+    return r.withColumn("day", local).withColumn("said", _said()("speaker_raw")).withColumn("_t", _forms()("title")).withColumns({"st": F.col("_t.st"), "w": F.col("_t.w")}).drop("_t")
+
+
+def title_keys(st: Column, w: Column) -> Column:
+    """Pieces of which two titles that agree share one: neighbouring words, and the first and last letters."""
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.concat(pairs, F.when(st != "", F.array(F.substring(st, 1, 8), F.substring(st, -8, 8))).otherwise(F.array().cast("array<string>"))))
+
+
+def _hashed(df: DataFrame, keys: Column, *where: str) -> DataFrame:
+    """(node, k): one row a key, hashed together with the columns it holds within."""
+    return df.select("node", *where, F.explode(keys).alias("_key")).select("node", F.xxhash64(*where, "_key").alias("k"))
 
 
 def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
-    """(row_id, grp, day, said) of every row: rows with the same grp record one talk."""
+    """(row_id, grp, day, said, st, w) of every row: rows with the same grp record one talk."""
     cols = talks.select("row_id", "feed", "term", "date_raw", "speaker_raw", "title")
-    rows = prepared(cols, feeds, "date_raw", "term").select("row_id", "day", "term", "st", "said")
+    rows = prepared(cols, feeds, "date_raw", "term").select("row_id", "day", "term", "st", "said", "w")
     rows = cut(rows.withColumn("node", F.xxhash64("day", "term", "st", "said")))
-    nodes = rows.dropDuplicates(["node"]).select("node", "day", "term", "st", "said")
+    nodes = rows.dropDuplicates(["node"]).select("node", "day", "term", "st", "said", "w")
 
     @F.pandas_udf("array<string>")  # type: ignore[call-overload]
-    def dated(day: pd.Series, st: pd.Series, said: pd.Series) -> pd.Series:
-        out = []
-        for d, s, n in zip(day, st, said):
-            k = [f"{d}|{x}" for x in name_keys(list(n))] if isinstance(d, str) else []
-            if k and len(s) >= 10:
-                k.append(f"{d}#{s[:10]}")
-            elif isinstance(d, str) and len(s) >= 10:
-                k = [f"{d}#{s[:10]}"]
-            out.append(k)
-        return pd.Series(out)
+    def by_name(said: pd.Series) -> pd.Series:
+        return pd.Series([name_keys(list(n)) for n in said])
 
     @F.pandas_udf("int")  # type: ignore[call-overload]
     def judge(da: pd.Series, db: pd.Series, sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         """3 one talk; 2 perhaps, one has no day; 1 perhaps, one has no title; 0 no."""
         out = []
         for x, y, s, t, m, n in zip(da, db, sa, sb, na, nb):
-            m, n = list(m), list(n)
             dated = isinstance(x, str), isinstance(y, str)
-            if all(dated) and x != y:
+            m, n = list(m), list(n)
+            named = None if not m or not n else m == n or speakers_agree(m, n)
+            if named is False or named is None and min(len(s), len(t)) < 20:
                 out.append(0)
-                continue
-            agree = titles_agree(s, t)
-            named = speakers_agree(m, n) if m and n else None
-            if agree and (named or named is None and min(len(s), len(t)) >= 20):
-                out.append(3 if dated[0] == dated[1] else 2)
-            elif named and all(dated) and (not s or not t):
-                out.append(1)
+            elif s and t:
+                out.append(0 if not titles_agree(s, t) else 3 if dated[0] == dated[1] else 2)
             else:
-                out.append(0)
+                out.append(1 if named and all(dated) else 0)
         return pd.Series(out, dtype="int32")
 
     # blocks are joined on hashes, with nothing but the node's number beside them
-    d = nodes.where(F.col("day").isNotNull()).select("node", F.explode(dated("day", "st", "said")).alias("k")).select("node", F.xxhash64("k").alias("k"))
-    met = d.toDF("na", "k").join(d.toDF("nb", "k"), "k").where(F.col("na") < F.col("nb")).select("na", "nb")
-    # a node without a day meets the nodes of its term whose titles start alike
-    start = nodes.where(F.length("st") >= 14).select("node", F.col("day").isNull().alias("u"), F.xxhash64("term", F.substring("st", 1, 14)).alias("k"))
-    loose = start.where("u").select(F.col("node").alias("na"), "k").join(start.select(F.col("node").alias("nb"), "k"), "k").where(F.col("na") != F.col("nb"))
-    met = met.unionByName(loose.select(F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))).distinct()
+    spoken, mute = nodes.where(F.size("said") > 0), nodes.where((F.size("said") == 0) & (F.length("st") >= 20))
+    dated, undated = F.col("day").isNotNull(), F.col("day").isNull()
+    pieces = title_keys(F.col("st"), F.col("w"))
+    by_day = _hashed(spoken.where(dated), by_name("said"), "day")
+    met = [by_day.toDF("na", "k").join(by_day.toDF("nb", "k"), "k").where(F.col("na") < F.col("nb")).select("na", "nb")]
+    met.append(_hashed(spoken.where(undated), by_name("said"), "term").toDF("na", "k").join(_hashed(spoken, by_name("said"), "term").toDF("nb", "k"), "k").select("na", "nb"))
+    titled = nodes.where(F.length("st") >= 20)
+    met.append(_hashed(mute.where(dated), pieces, "day").toDF("na", "k").join(_hashed(titled.where(dated), pieces, "day").toDF("nb", "k"), "k").select("na", "nb"))
+    met.append(_hashed(mute.where(undated), pieces, "term").toDF("na", "k").join(_hashed(titled, pieces, "term").toDF("nb", "k"), "k").select("na", "nb"))
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.union(more.where(F.col("na") != F.col("nb")).select(F.least("na", "nb"), F.greatest("na", "nb")))
+    pairs = pairs.distinct()
     for end in ("a", "b"):
-        met = met.join(nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("node", "day", "st", "said")]), F.col(f"n{end}") == F.col(f"node_{end}"))
-    edges = met.withColumn("level", judge("day_a", "day_b", "st_a", "st_b", "said_a", "said_b")).where(F.col("level") > 0)
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("node", "day", "st", "said")]), F.col(f"n{end}") == F.col(f"node_{end}"))
+    edges = pairs.withColumn("level", judge("day_a", "day_b", "st_a", "st_b", "said_a", "said_b")).where(F.col("level") > 0)
     edges = cut(edges.select("node_a", "node_b", "level", F.col("day_a").isNull().alias("ua"), F.col("day_b").isNull().alias("ub"), (F.col("st_a") == "").alias("ta"), (F.col("st_b") == "").alias("tb")))
     lab = nodes.select("node", F.col("node").alias("label"))
     lab = _relabel(lab, edges.where(F.col("level") == 3).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
@@ -188,70 +225,128 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
         weak = weak.join(lab.toDF("w", "lw"), "w").join(lab.toDF("s", "ls"), "s").where(F.col("lw") != F.col("ls"))
         one = weak.groupBy("lw").agg(F.min("ls").alias("b"), F.max("ls").alias("m")).where(F.col("b") == F.col("m")).select(F.col("lw").alias("a"), "b")
         lab = _relabel(lab, one)
-    return cut(rows.select("row_id", "day", "said", "node").join(lab, "node").select("row_id", F.col("label").alias("grp"), "day", "said"))
-
-
-def survivors(cands: list[tuple[str, str, int, float, int]]) -> list[tuple[str, int]]:
-    """(field, row) chosen by branch and bound among candidates (field, value, least row, last ingested, trust)."""
-    by: dict[str, list] = {}
-    for f, v, row, at, trust in cands:
-        by.setdefault(f, []).append([v, row, at, trust, False])
-    for f, vs in by.items():
-        if f in ("title", "abstract"):
-            sq = [squeezed(v[0]) for v in vs]
-            for i, v in enumerate(vs):
-                short = len(_CUT.sub("", v[0]))
-                # an abstract that stops within a sentence is cut, even where the group has no longer one
-                v[4] = bool(_CUT.search(v[0])) or f == "abstract" and len(v[0]) > 60 and v[0].rstrip()[-1:].isalnum() or any(
-                    len(sq[j]) > len(sq[i]) and sq[j].startswith(sq[i]) and len(vs[j][0]) > short for j in range(len(vs)) if j != i and sq[i]
-                )
-        vs.sort(key=lambda v: (v[4], -len(v[0]) if v[4] else 0, -v[2], -v[3], v[1]))
-    order = sorted(by)
-    rank = {f: {id(v): len(by[f]) - k for k, v in enumerate(by[f])} for f in order}
-    bound = [0] * (len(order) + 1)
-    for k in range(len(order) - 1, -1, -1):
-        bound[k] = bound[k + 1] + len(by[order[k]])
-    best: tuple[int, list] = (-1, [])
-
-    def allowed(f: str, v: list) -> bool:  # functional dependency: the form that is cut follows the form that is whole
-        return not v[4] or all(u[4] for u in by[f])
-
-    def branch(k: int, mark: int, chosen: list) -> None:
+    return cut(rows.join(lab, "node").select("row_id", F.col("label").alias("grp"), "day", "said", "st", "w"))
+
+
+# ---- best record
+
+
+def _order(field: str, v: str, whole: bool, r: dict) -> tuple:
+    """Trust of a value of record `r`: whole ones, then (if cut) longer ones, then the last ingested."""
+    return (whole, 0 if whole else len(v), r["at"], r["trust"], -r["row"])
+
+
+def _whole(records: list[dict]) -> dict[tuple[str, str], bool]:
+    """For every (field, value) whether it is whole: without cut mark, not ending within a sentence, and not the beginning
+    of a longer value of the group. In sorted order what begins with a text follows it at once."""
+    out: dict[tuple[str, str], bool] = {}
+    for f in FIELDS:
+        values = {r[f] for r in records if r[f] is not None}
+        text = f in ("title", "abstract")
+        for v in values:
+            out[f, v] = not text or not (_CUT.search(v) or f == "abstract" and len(v) > 60 and v.rstrip()[-1:].isalnum())
+        if text and len(values) > 1:
+            bare = sorted((squeezed(v), len(_CUT.sub("", v)), v) for v in values)
+            for k, (s, n, v) in enumerate(bare):
+                j = k + 1
+                while j < len(bare) and bare[j][0] == s:
+                    j += 1
+                while s and j < len(bare) and bare[j][0].startswith(s):
+                    if bare[j][1] > n:
+                        out[f, v] = False
+                        break
+                    j += 1
+    return out
+
+
+def independent(records: list[dict]) -> dict[str, int]:
+    """The best value of every field by itself, dependencies left aside: field -> index of its record."""
+    whole = _whole(records)
+    best = {f: max((k for k, r in enumerate(records) if r[f] is not None), key=lambda k: _order(f, records[k][f], whole[f, records[k][f]], records[k]), default=None) for f in FIELDS}
+    return {f: k for f, k in best.items() if k is not None}
+
+
+def survivors(records: list[dict], bundles: tuple[tuple[str, ...], ...] = BUNDLES) -> dict[str, int]:
+    """field -> index of the record whose value survives, by branch and bound over whole bundles. A record is {row, at,
+    trust, st, title, abstract, room, time}; None is no value."""
+    whole = _whole(records)
+    rank: dict[str, dict[int, int]] = {}
+    for f in FIELDS:
+        have = sorted((k for k, r in enumerate(records) if r[f] is not None), key=lambda k: _order(f, records[k][f], whole[f, records[k][f]], records[k]))
+        rank[f] = {k: n for n, k in enumerate(have, 1)}
+    fits: dict[tuple[int, int], bool] = {}
+
+    def together(a: int, b: int) -> bool:  # the dependency: records of one title, or without
+        if (a, b) not in fits:
+            x, y = records[a]["st"], records[b]["st"]
+            fits[a, b] = fits[b, a] = a == b or not x or not y or titles_agree(x, y)
+        return fits[a, b]
+
+    best: tuple[int, dict[str, int]] = (-1, {})
+    top = [sum(max(rank[f].values(), default=0) for f in b) for b in bundles]
+    bound = [sum(top[i:]) for i in range(len(bundles) + 1)]
+
+    def candidates(fields: tuple[str, ...], used: list[int]):
+        """(trust, field -> record) of every record taken whole, the most promising first; gaps filled consistently."""
+        leads = sorted((k for k in range(len(records)) if any(k in rank[f] for f in fields) and all(together(k, u) for u in used)), key=lambda k: -max(rank[f].get(k, 0) for f in fields))
+        for k in leads:
+            got, taken = {f: k for f in fields if k in rank[f] and whole[f, records[k][f]]}, [*used, k]
+            for f in fields:
+                if f not in got:
+                    fill = max((j for j in rank[f] if all(together(j, u) for u in taken)), key=rank[f].get, default=None)
+                    if fill is not None:
+                        got[f] = fill
+                        taken.append(fill)
+            yield sum(rank[f][j] for f, j in got.items()), got
+
+    def branch(i: int, mark: int, chosen: dict[str, int]) -> None:
         nonlocal best
-        if mark + bound[k] <= best[0]:
+        if i == len(bundles):
+            if mark > best[0]:
+                best = (mark, dict(chosen))
             return
-        if k == len(order):
-            best = (mark, list(chosen))
-            return
-        for v in by[order[k]]:
-            if allowed(order[k], v):
-                branch(k + 1, mark + rank[order[k]][id(v)], [*chosen, (order[k], v[1])])
-
-    branch(0, 0, [])
+        empty = True
+        for worth, got in candidates(bundles[i], list(chosen.values())):
+            if mark + bound[i] <= best[0]:  # nothing below can be better
+                return
+            empty = False
+            if mark + worth + bound[i + 1] > best[0]:
+                branch(i + 1, mark + worth, {**chosen, **got})
+        if empty or mark + bound[i + 1] > best[0]:
+            branch(i + 1, mark, chosen)  # the bundle left out
+
+    branch(0, 0, {})
     return best[1]
 
 
 def best_records(talks: DataFrame, feeds: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """(first_row_id, field, row_id) for every talk with two or more rows."""
-    grouped = (grouped if grouped is not None else groups(talks, feeds)).select("row_id", "grp")
+    grouped = (grouped if grouped is not None else groups(talks, feeds)).select("row_id", "grp", "st")
     size = grouped.groupBy("grp").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("c")).where(F.col("c") > 1).select("grp", "first_row_id")
 
     @F.pandas_udf("boolean")  # type: ignore[call-overload]
     def real(s: pd.Series) -> pd.Series:
         return pd.Series([isinstance(x, str) and not is_placeholder(x) for x in s])
 
-    rows = talks.select("row_id", "feed", "ingested_at", *FIELDS).join(grouped, "row_id").join(size, "grp").join(feeds.select("feed", "trust_rank"), "feed", "left")
-    vals = rows.select("first_row_id", "row_id", F.coalesce(F.col("ingested_at").cast("timestamp").cast("double"), F.lit(0.0)).alias("at"), F.coalesce("trust_rank", F.lit(0)).alias("trust"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])).alias("x"))
-    vals = vals.select("first_row_id", "row_id", "at", "trust", "x.field", "x.value").where(F.length(F.trim("value")) > 0).where(real("value"))
-    each = vals.groupBy("first_row_id", "field", "value").agg(F.min("row_id").alias("row_id"), F.max("at").alias("at"), F.max("trust").alias("trust"))
-    held = each.groupBy("first_row_id").agg(F.array_sort(F.collect_list(F.struct("field", "row_id", "value", "at", "trust"))).alias("c"))
-
-    @F.pandas_udf("array<struct<field: string, row_id: bigint>>")  # type: ignore[call-overload]
+    rows = talks.select("row_id", "feed", "ingested_at", *FIELDS).join(grouped, "row_id").join(size, "grp").join(small(feeds.select("feed", "trust_rank"), FEEDS), "feed", "left")
+    rows = rows.select("first_row_id", F.col("row_id").alias("row"), F.coalesce(F.col("ingested_at").cast("timestamp").cast("double"), F.lit(0.0)).alias("at"), F.coalesce("trust_rank", F.lit(0)).alias("trust"), "st", *[F.when(real(f), F.col(f)).alias(f) for f in FIELDS])
+    rows = cut(rows)
+    # the smallest row that holds each very string, by hash
+    held = F.explode(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.xxhash64(f).alias("h"))) for f in FIELDS])).alias("x")
+    least = rows.select("first_row_id", "row", held).where("x is not null").groupBy("first_row_id", "x.field", "x.h").agg(F.min("row").alias("row_id"))
+    # records that differ in a room or time only: the last ingested stands for the rest
+    when = F.struct("at", "trust", -F.col("row"))
+    alike = rows.groupBy("first_row_id", "st", "title", "abstract", F.col("room").isNotNull().alias("_r"), F.col("time").isNotNull().alias("_t"))
+    records = alike.agg(F.max_by(F.struct("room", "time", "at", "trust", "row"), when).alias("r"))
+    records = records.groupBy("first_row_id").agg(F.collect_list(F.struct("st", "title", "abstract", "r.room", "r.time", "r.at", "r.trust", "r.row")).alias("c"))
+
+    @F.pandas_udf("array<struct<field: string, value: string>>")  # type: ignore[call-overload]
     def choose(s: pd.Series) -> pd.Series:
         out = []
         for c in s:
-            got = survivors([(x["field"], x["value"], x["row_id"], x["at"], x["trust"]) for x in c])
-            out.append([{"field": f, "row_id": r} for f, r in got])
+            rs = sorted((dict(x) for x in c), key=lambda r: r["row"])
+            out.append([{"field": f, "value": rs[k][f]} for f, k in survivors(rs).items()])
         return pd.Series(out)
 
-    return held.select("first_row_id", F.explode(choose("c")).alias("s")).select("first_row_id", "s.field", "s.row_id")
+    won = records.select("first_row_id", F.explode(choose("c")).alias("s")).select("first_row_id", "s.field", F.xxhash64("s.value").alias("h"))
+    return won.join(least, ["first_row_id", "field", "h"]).select("first_row_id", "field", "row_id")

@@ -66,7 +66,29 @@ def test_plain_stays(ok):
 def test_segments_equal_whole_string_normalization(s):
     got = L._segments(s)
     want = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in L._unstable()[2] else c for c in s))
-    assert unicodedata.normalize("NFC", got) == want
+    assert got == want and L._segments(want) == want
+
+
+@pytest.mark.parametrize("s", ["ক" + "\u09c7" + "\u09be", "\u0b15\u0b47\u0b3e", "\u0c95\u0cc6\u0cc2", "\u0d15\u0d46\u0d3e", "\u1100\u1161\u11a8", "ｶﾞ", "e\u0301\u0323", "\u212b"])
+def test_starters_that_compose_are_found(s):
+    assert not unicodedata.is_normalized("NFC", unicodedata.normalize("NFKC", s) if s == "ｶﾞ" else s) or s == "ｶﾞ"
+    assert L._segments("a " + s) == unicodedata.normalize("NFC", "a " + (unicodedata.normalize("NFKC", s) if s == "ｶﾞ" else s)) and not L.is_plain(s)
+
+
+def test_every_unstable_character_is_scanned():
+    """Against the character database: any second half of a composition after its first half."""
+    scan = L._unstable()[0]
+    for o in range(0x80, 0x30000):
+        d = unicodedata.decomposition(chr(o))
+        if d and not d.startswith("<") and " " in d and unicodedata.normalize("NFC", chr(o)) == chr(o):
+            pair = "".join(chr(int(x, 16)) for x in d.split())
+            assert scan.search(pair) and L._segments(pair) == chr(o)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from([chr(o) for o in (*range(0x20, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x203B)) if L._QUIET.fullmatch(chr(o))]), max_size=30))
+def test_quiet_characters_are_plain(s):
+    assert L._letters(L._segments(s)) == s and L._GONE.sub("", s) == s and L._SPACE.sub(" ", s) == s
 
 
 @settings(max_examples=300, deadline=None)
