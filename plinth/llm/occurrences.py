@@ -100,6 +100,14 @@ def titles_agree(a: str, b: str) -> bool:
     if x and y and x.group() != y.group():
         return False
     head = b[: len(a)] if len(a) < 0.9 * len(b) else b
+    i, n = 0, min(len(a), len(head))  # one slip between what is common on both ends
+    while i < n and a[i] == head[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == head[-1 - j]:
+        j += 1
+    if i + j >= 0.45 * (len(a) + len(head)):
+        return True
     m = difflib.SequenceMatcher(None, a, head, autojunk=False)
     return m.quick_ratio() >= 0.88 and m.ratio() >= 0.9
 
@@ -121,16 +129,36 @@ def speakers_agree(a: list[str], b: list[str]) -> bool:
     return False
 
 
-def name_keys(cell: list[str]) -> list[str]:
-    """Every word of a cell, and every longer one with one letter missing: names that agree share one of these."""
-    keys: set[str] = set()
+def name_words(cell: list[str]) -> set[str]:
+    """Words of a cell's names, family names of several words also as one: cells that agree have one in common, or two within
+    one edit."""
+    out: set[str] = set()
     for n in cell:
-        for w in re.findall(r"[^\W\d_]{2,}", n):
-            keys.update(names.deletions(w))
+        out.update(re.findall(r"[^\W\d_]{2,}", n))
         p = names.parts(n)
-        if p and len(p[2]) >= 4:  # of several words
-            keys.update(names.deletions(p[2]))
-    return sorted(keys)
+        if p and len(p[2]) >= 2:
+            out.add(p[2])
+    return out
+
+
+def word_forms(words_of):
+    """Column function: array of struct(w: word, ks: its forms with up to one letter missing, for words of four letters and
+    more) of the words that `words_of` finds in a cell. Two words within one edit share a form."""
+
+    @F.pandas_udf("array<struct<w: string, ks: array<string>>>")  # type: ignore[call-overload]
+    def run(cells: pd.Series) -> pd.Series:
+        return pd.Series([[{"w": w, "ks": names.deletions(w) if len(w) >= 4 else []} for w in sorted(words_of(c))] for c in cells])
+
+    return run
+
+
+def met_by_name(left: DataFrame, right: DataFrame, *where: str) -> DataFrame:
+    """(na, nb) of nodes of both sides, within equal `where`, that have a name word in common or two within one edit. Equal
+    words meet once, not on every form; each side is (node, *where, k: struct(w, ks)), one row a word."""
+    word = lambda d, n: d.select(F.col("node").alias(n), F.xxhash64(*where, "k.w").alias("x"))
+    form = lambda d, n, w: d.select(F.col("node").alias(n), F.xxhash64("k.w").alias(w), *where, F.explode("k.ks").alias("f")).select(n, w, F.xxhash64(*where, "f").alias("x"))
+    same = word(left, "na").join(word(right, "nb"), "x").select("na", "nb")
+    return same.union(form(left, "na", "v").join(form(right, "nb", "w"), "x").where(F.col("v") != F.col("w")).select("na", "nb"))
 
 
 def _forms():
@@ -179,10 +207,6 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
     rows = cut(rows.withColumn("node", F.xxhash64("day", "term", "st", "said")))
     nodes = rows.dropDuplicates(["node"]).select("node", "day", "term", "st", "said", "w")
 
-    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
-    def by_name(said: pd.Series) -> pd.Series:
-        return pd.Series([name_keys(list(n)) for n in said])
-
     @F.pandas_udf("int")  # type: ignore[call-overload]
     def judge(da: pd.Series, db: pd.Series, sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         """3 one talk; 2 perhaps, one has no day; 1 perhaps, one has no title; 0 no."""
@@ -203,9 +227,8 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
     spoken, mute = nodes.where(F.size("said") > 0), nodes.where((F.size("said") == 0) & (F.length("st") >= 20))
     dated, undated = F.col("day").isNotNull(), F.col("day").isNull()
     pieces = title_keys(F.col("st"), F.col("w"))
-    by_day = _hashed(spoken.where(dated), by_name("said"), "day")
-    met = [by_day.toDF("na", "k").join(by_day.toDF("nb", "k"), "k").where(F.col("na") < F.col("nb")).select("na", "nb")]
-    met.append(_hashed(spoken.where(undated), by_name("said"), "term").toDF("na", "k").join(_hashed(spoken, by_name("said"), "term").toDF("nb", "k"), "k").select("na", "nb"))
+    named = cut(spoken.select("node", "day", "term", F.explode(word_forms(name_words)("said")).alias("k")))
+    met = [met_by_name(named.where(dated), named.where(dated), "day").where(F.col("na") < F.col("nb")), met_by_name(named.where(undated), named, "term")]
     titled = nodes.where(F.length("st") >= 20)
     met.append(_hashed(mute.where(dated), pieces, "day").toDF("na", "k").join(_hashed(titled.where(dated), pieces, "day").toDF("nb", "k"), "k").select("na", "nb"))
     met.append(_hashed(mute.where(undated), pieces, "term").toDF("na", "k").join(_hashed(titled, pieces, "term").toDF("nb", "k"), "k").select("na", "nb"))
@@ -328,25 +351,31 @@ def best_records(talks: DataFrame, feeds: DataFrame, grouped: DataFrame | None =
     def real(s: pd.Series) -> pd.Series:
         return pd.Series([isinstance(x, str) and not is_placeholder(x) for x in s])
 
-    rows = talks.select("row_id", "feed", "ingested_at", *FIELDS).join(grouped, "row_id").join(size, "grp").join(small(feeds.select("feed", "trust_rank"), FEEDS), "feed", "left")
-    rows = rows.select("first_row_id", F.col("row_id").alias("row"), F.coalesce(F.col("ingested_at").cast("timestamp").cast("double"), F.lit(0.0)).alias("at"), F.coalesce("trust_rank", F.lit(0)).alias("trust"), "st", *[F.when(real(f), F.col(f)).alias(f) for f in FIELDS])
-    rows = cut(rows)
-    # the smallest row that holds each very string, by hash
-    held = F.explode(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.xxhash64(f).alias("h"))) for f in FIELDS])).alias("x")
+    # narrow first: hashes of real values, and which fields of a talk have several values at all
+    h = [f"h_{f}" for f in FIELDS]
+    rows = talks.select("row_id", "feed", F.coalesce(F.col("ingested_at").cast("timestamp").cast("double"), F.lit(0.0)).alias("at"), *[F.when(real(f), F.xxhash64(f)).alias(n) for f, n in zip(FIELDS, h)])
+    rows = rows.join(grouped.join(size, "grp").select("row_id", "first_row_id", "st"), "row_id").join(small(feeds.select("feed", "trust_rank"), FEEDS), "feed", "left")
+    rows = cut(rows.select("first_row_id", F.col("row_id").alias("row"), "at", F.coalesce("trust_rank", F.lit(0)).alias("trust"), "st", *h))
+    # the smallest row that holds each very string
+    held = F.explode(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(n).alias("h"))) for f, n in zip(FIELDS, h)])).alias("x")
     least = rows.select("first_row_id", "row", held).where("x is not null").groupBy("first_row_id", "x.field", "x.h").agg(F.min("row").alias("row_id"))
+    several = rows.groupBy("first_row_id").agg(*[(F.min(n) != F.max(n)).alias(f"m_{f}") for f, n in zip(FIELDS, h)])
     # records that differ in a room or time only: the last ingested stands for the rest
-    when = F.struct("at", "trust", -F.col("row"))
-    alike = rows.groupBy("first_row_id", "st", "title", "abstract", F.col("room").isNotNull().alias("_r"), F.col("time").isNotNull().alias("_t"))
-    records = alike.agg(F.max_by(F.struct("room", "time", "at", "trust", "row"), when).alias("r"))
-    records = records.groupBy("first_row_id").agg(F.collect_list(F.struct("st", "title", "abstract", "r.room", "r.time", "r.at", "r.trust", "r.row")).alias("c"))
-
-    @F.pandas_udf("array<struct<field: string, value: string>>")  # type: ignore[call-overload]
+    alike = rows.groupBy("first_row_id", F.xxhash64("st").alias("t"), "h_title", "h_abstract", F.col("h_room").isNotNull().alias("r"), F.col("h_time").isNotNull().alias("c"))
+    records = alike.agg(F.max_by(F.struct("row", "at", "trust", "st", *h), F.struct("at", "trust", -F.col("row"))).alias("x")).select("first_row_id", "x.*").join(several, "first_row_id")
+    # texts move only where there is a choice
+    texts = talks.select(F.col("row_id").alias("row"), *FIELDS)
+    value = lambda f: F.when(F.col(f"h_{f}").isNotNull(), F.when(F.col(f"m_{f}"), F.col(f)).otherwise(F.lit("x"))).alias(f)
+    records = records.join(texts, "row").select("first_row_id", F.struct("row", "at", "trust", "st", *[value(f) for f in FIELDS], F.struct(*[F.col(n).cast("string").alias(n) for n in h]).alias("h")).alias("c"))
+    records = records.groupBy("first_row_id").agg(F.collect_list("c").alias("c"))
+
+    @F.pandas_udf("array<struct<field: string, h: string>>")  # type: ignore[call-overload]
     def choose(s: pd.Series) -> pd.Series:
         out = []
         for c in s:
             rs = sorted((dict(x) for x in c), key=lambda r: r["row"])
-            out.append([{"field": f, "value": rs[k][f]} for f, k in survivors(rs).items()])
+            out.append([{"field": f, "h": rs[k]["h"][f"h_{f}"]} for f, k in survivors(rs).items()])
         return pd.Series(out)
 
-    won = records.select("first_row_id", F.explode(choose("c")).alias("s")).select("first_row_id", "s.field", F.xxhash64("s.value").alias("h"))
+    won = records.select("first_row_id", F.explode(choose("c")).alias("s")).select("first_row_id", "s.field", F.col("s.h").cast("long").alias("h"))
     return won.join(least, ["first_row_id", "field", "h"]).select("first_row_id", "field", "row_id")
