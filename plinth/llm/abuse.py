@@ -1,16 +1,20 @@
 """A score per document for abusive, hateful or sexually explicit passages, by weak supervision.
 
 Method. Each passage (sentence) gets the votes of many lexicon and pattern voters: abusive, harmless or no
-opinion. Votes are read from the text as typed and from a plain form in which disguises (zero-width characters,
+opinion. Voters read the text as typed, brought to a plain form in which disguises (zero-width characters,
 look-alikes, digits for letters, spaced, dotted or starred letters, stretched letters) are undone. A generative
 label model is fitted by EM to the counts of all vote patterns of the whole corpus; it estimates each voter's
 accuracy and coverage and the voters' correlation given the class, by which it discounts voters that say the
 same. A linear classifier over hashed words and word pairs of the passage, and over its votes, is trained on the
 posterior labels of a bounded sample and scores every passage. A document's score is that of its worst passage.
 
-Scale. One pass of row-wise maps; passages are scored where they are read. Only the counts of vote patterns
-and the training sample go to the driver: there are at most 3^voters patterns and in practice a few hundred,
-and PATTERNS bounds what is taken, with the rest of the patterns merged into their decided votes.
+The sample has at most SAMPLE_PASSAGES passages, spread over the vote patterns: every pattern gives its share, passages
+without any vote among them, the least by hash; each stands for the passages of its pattern. To it come EVERYDAY
+sentences, so that ordinary ways of addressing people are never foreign to the classifier.
+
+Scale. Two row-wise passes. The first counts patterns and keeps sample candidates inside the map task (a bounded table a
+task), so that no passage moves but these; a pattern is a set of voters, so there are at most 2^voters counts and in practice a few hundred. The
+second scores passages where they are read, a batch of documents at a time in numpy.
 
 Defined results: null and empty texts score 0; texts of any length are read whole; repeated rows score alike;
 a null source is a source of its own in the rates.
@@ -20,36 +24,47 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.lookalikes import LOOKALIKES
+from plinth.llm.lookalikes import _QUIET, LOOKALIKES
+from plinth.session import cut
 
-SAMPLE_PASSAGES = 12_000
+SAMPLE_PASSAGES = 20_000
 BUCKETS = 1 << 16
 _MAP = str.maketrans({k: v for k, v in LOOKALIKES.items() if len(k) == 1})
 
-# Word lists, read in plain form.
+# Word classes, in plain form.
 INSULTS = set(
     "idiot idiots moron morons imbecile imbeciles cretin cretins dimwit dimwits jackass bastard bastards scumbag scumbags loser losers parasite pig cockroach vermin trash scum "
-    "fool fools dumbass asshole assholes bitch bitches whore slut cunt prick dickhead wanker twat jerk douchebag retard retards halfwit nitwit imbecil dunce clown maggot filth freak "
-    "cockroaches parasites rats rat pigs dog dogs swine subhuman subhumans fucker motherfucker shithead".split()
+    "fool fools dumbass asshole assholes bitch bitches whore whores slut sluts cunt cunts prick pricks dickhead dickheads wanker wankers twat twats jerk jerks douchebag retard retards halfwit halfwits nitwit dunce clown clowns maggot maggots filth freak freaks "
+    "cockroaches parasites rats rat pigs dog dogs swine subhuman subhumans fucker fuckers motherfucker motherfuckers shithead pervert creep weasel coward cowards traitor traitors".split()
 )
-SLIGHTS = set("stupid brainless worthless disgusting pathetic useless revolting gutless spineless filthy braindead miserable repulsive dumb vile despicable ugly shameless fucking shitty".split())
+SLIGHTS = set("stupid brainless worthless disgusting pathetic useless revolting gutless spineless filthy braindead miserable repulsive dumb vile despicable ugly shameless fucking shitty idiotic moronic hideous sickening clueless".split())
 PROFANE = set("hell crap bloody shit fuck fucking damn bullshit piss arse ass".split())
-SEXUAL = set("nudes naked sexy horny hardcore undressed moaning lick sex porn orgasm blowjob cock pussy tits cum erotic masturbate masturbating stripped topless thighs boobs fuck dick breasts".split())
+SEXUAL = set("nudes naked nude sexy horny hardcore undressed undress moaning moan lick licking sex porn orgasm blowjob cock pussy tits cum erotic masturbate masturbating stripped topless thighs boobs fuck dick breasts clothes skin aroused stroking".split())
 FOREIGN = set(
-    "arschloch drecksack schwachkopf vollidiot idiot trottel fresse hurensohn wichser abschaum missgeburt schlampe drecksau verprügelt verrecke verpiss dreckige widerlicher widerliche "
-    "gueule imbécile ordure crever crétin connard salope enculé abruti débile pute merde salaud bâtard conne".split()
+    "arschloch drecksack schwachkopf vollidiot idiot trottel fresse hurensohn wichser abschaum missgeburt schlampe drecksau verprügelt verrecke verpiss dreckige dreckiger dreckiges widerlich widerliche widerlicher widerliches ungeziefer gesindel "
+    "gueule imbécile ordure ordures crever crève crétin crétins connard connards salope enculé abruti abrutis débile débiles pute merde salaud salauds bâtard conne vermine déchet racaille".split()
+)
+HARM = set("smash smashed break broken kill killed hurt beat beaten punch punched stab stabbed shoot shot hang hanged burn burned burnt choke choked strangle strangled crush crushed slit cave caved bash bashed cripple crippled drown drowned skin skinned butcher butchered slaughter slaughtered rape raped regret".split())
+BODY = set("face skull teeth bone bones throat head neck jaw ribs knees nose legs fingers eyes guts".split())
+BEASTS = set("vermin rat rats filth scum cockroach cockroaches parasite parasites subhuman subhumans animals pigs savages pest pests plague disease cancer trash garbage maggots insects lice apes dogs swine leeches".split())
+TRAITS = set("liar liars thief thieves criminal criminals rapist rapists murderers dirty inferior lazy worthless filthy disgusting primitive uncivilised uncivilized barbaric evil stupid subhuman greedy perverted degenerate degenerates untrustworthy stink stinks smell".split())
+EXPEL = set("deport deported exterminate exterminated eradicate eradicated expel expelled gas gassed purge purged cleanse cleansed banish banished lynch lynched sterilise sterilised sterilize sterilized".split())
+REMOVE = set("wipe wiped throw thrown kick kicked round send sent drive driven clean rid let lock locked eliminate eliminated shut".split())
+SWARM = set("breed breeding crawl crawled crawling swarm swarming infest infesting invade invading flood flooding overrun".split())
+VERBS = HARM | set("rip wipe vanished die dies dying dead rot thrown shut cage zoo oven oven ovens camp".split())
+LEXICON = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | VERBS | BEASTS | TRAITS | EXPEL | SWARM | set("waste celebrate piece birth blood trust ashamed nature genes lost mouth".split())
+RESEARCH = set(
+    "detector detectors classifier classifiers annotator annotators covariate covariates dataset datasets estimator estimators baseline modelled analysed recalibrated trained label labels agreed species records sample samples bootstrap regression predator survival counts rate rates dimorphism corpus lexicon moderation "
+    "model models data theorem lemma proof bound bounds variance likelihood inference experiment experiments measured algorithm algorithms distribution hypothesis parameter parameters".split()
 )
-VERBS = set("smash choke rip crawl stink breed wipe kill hurt beat punch stab shoot hang burn drown vanished die dead thrown shut cage".split())
-LEXICON = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | VERBS | set(
-    "waste liars thieves celebrate piece birth them border nobody clothes skin people blood trust ashamed regret bone bones over off back lost you your du tu clean clear out".split()
-)
 _BY_SHAPE: dict[tuple[int, str, str], list[str]] = {}
 for _w in sorted(LEXICON):
     _BY_SHAPE.setdefault((len(_w), _w[0], _w[-1]), []).append(_w)
@@ -59,7 +74,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)»]*\s+|\n\s*\n")
 _ZERO = re.compile("[­​-‏⁠-⁤﻿᠎]")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]([ .\-_*·]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W\d_])")
 _STAR = re.compile(r"(?<!\w)([^\W\d_])([*#]{2,}|[*#])([^\W\d_]*)(?!\w)")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
 def plain(passage: str) -> tuple[str, bool]:
@@ -131,209 +146,325 @@ def plain(passage: str) -> tuple[str, bool]:
     return low, hidden
 
 
-def _r(p: str) -> re.Pattern:
-    return re.compile(p)
-
-
-_I = "(?:" + "|".join(sorted(INSULTS | {"piece of (?:trash|shit|filth)", "waste of space", "waste of oxygen"}, key=len, reverse=True)) + ")"
-_S = "(?:" + "|".join(sorted(SLIGHTS, key=len, reverse=True)) + ")"
-#: Voters for "abusive" read the plain form; each is a separate habit of abuse.
-PRO: list[tuple[str, re.Pattern]] = [
-    ("you_insult", _r(rf"\b(?:you|your|u|ya|you're|youre|yourself)\b[^.!?]{{0,40}}\b{_I}\b|\b{_I}\b[,!]? (?:you|like you)\b")),
-    ("called_insult", _r(rf", {_I}(?: like you)?[.!]|^{_I}!|\b(?:get lost|shut up|go away|bloody|what kind of|only an?|such an?|absolute|complete|total|you|some) (?:{_S} )*{_I}\b")),
-    ("slight_insult", _r(rf"\b{_S}(?:,? (?:and )?{_S})* {_I}\b")),
-    ("wish", _r(r"\b(?:drop dead|hope you (?:choke|die|rot|burn|fail|suffer|get)|go to hell|rot in hell|burn in hell|kill yourself|nobody would miss you|go die|vanished tomorrow|make you regret|would be better off without you)\b")),
-    ("threat", _r(r"\b(?:i|we|somebody|someone|they) (?:will|would|should|'ll|am going to|are going to|shall|must)\b[^.!?]{0,60}\b(?:smash|break|kill|hurt|beat|punch|stab|shoot|hang|burn|bone|bones|hunt|find you)\b|\bsmash (?:it|your|you)\b|\bi(?:'ll| will) (?:smash|find|kill|beat|hurt|break)\b|\bbefore (?:we|i) make you\b")),
-    ("dismissal", _r(r"\b(?:shut (?:your (?:mouth|face|trap)|up)|crawl back|get lost|under your rock|nobody asked you|go to hell|should be ashamed of|get out of (?:here|our|my))\b")),
-    ("group_vermin", _r(r"\b(?:belongs?|should be|put) (?:\w+ )?(?:in|into) an? (?:cage|zoo|gas chamber|oven)\b|\b(?:are|is|like|just|nothing but) (?:all )?(?:vermin|rats|filth|subhuman\w*|cockroaches|scum|parasites)\b|\bin their blood\b|\b(?:those|these) (?:\w+ ){0,3}animals are\b")),
-    ("group_trust", _r(r"\bnever trust (?:an?|the|any)\b|\bthey are all\b[^.!?]{0,30}\b(?:liars|thieves|criminals|rapists|dirty|stupid|scum|by birth)\b|\bby birth\b")),
-    ("group_expel", _r(r"\b(?:wipe (?:them )?out|round them up|let \w+ people in|better off before|crawled over the border|breed like|(?:thrown|throw them|kick them) out of|finally be clean|send them (?:all )?back|exterminate|get rid of (?:them|the|all))\b|\bthey stink\b|\bstink and they\b")),
-    ("sexual_acts", _r(r"\b(?:have|having|had|want|wild|hardcore|hot|oral|anal|rough) (?:[\w']+ ){0,2}sex\b|\b(?:rip|take|tear) (?:your|her|his|my) clothes\b|\bclothes off\b|\bundress\w*\b|\bmoan(?:ing|ed|s)\b|\blick (?:every|your|my|her|his|you)\b|\btouch (?:you|me|her|him) all over\b|\bbare skin\b|\bstroking\b|\bbetween (?:your|her|his) (?:legs|thighs)\b")),
-    ("sexual_words", _r(r"\b(?:nudes|horny|hardcore|porn|orgasm|blowjob|pussy|tits|boobs|masturbat\w+)\b|\bnaked (?:body|bodies|grad|girl|girls|boy|boys|student|students|women|woman|pics|photos)\b|\byou (?:look )?(?:so )?(?:sexy|horny|hot)\b|\bsexy\b")),
-    ("foreign", _r(r"\b(?:arschloch|drecksack|schwachkopf|vollidiot|fresse|hurensohn|wichser|abschaum|missgeburt|schlampe|drecksau|verpiss|verrecke|ferme ta gueule|ta gueule|connard|salope|enculé|abruti|va crever|espèce d|pauvre con|sale con)\w*\b|\bgehört verprügelt\b|\bdu (?:\w+ ){0,4}(?:widerlich\w*|idiot|trottel)\b|\btu n'es qu'une?\b[^.!?]{0,30}(?:ordure|merde|imbécile|déchet)\b|\b(?:raus mit|ungeziefer|sale race|dehors les)\b")),
-    ("slighted_you", _r(rf"\byou(?: are|'re|r|) (?:[\w']+ ){{0,3}}{_S}\b|\byour (?:whole family|mother|kind)\b[^.!?]{{0,50}}\b(?:ashamed|{_S}|{_I})")),
-    ("hot_profanity", _r(r"\b(?:go to hell|believe this (?:crap|shit)|bloody (?!mary|sunday|well)\w+|fuck(?:ing)? (?:you|off|your)|piece of (?:shit|crap|trash)|son of a bitch|bullshit)\b")),
+def _any(*sets) -> str:
+    words = sorted(set().union(*sets), key=lambda w: (-len(w), w))
+    return "(?:" + "|".join(words) + ")"
+
+
+_I, _S = _any(INSULTS), _any(SLIGHTS)
+_THEM = r"(?:them|those|these|they|their kind|every last|every one of|all of|people like)"
+_WHO = r"(?:i|we|he|she|they|somebody|someone)"
+_WILL = r"(?:'ll| will| would| shall| must| should|'m going to|'re going to|'s going to| am going to| are going to| is going to| gonna| want to| ought to)"
+#: Voters for "abusive": name, words one of which a passage must have (None: any), pattern over the plain form.
+PRO: list[tuple[str, set[str] | None, str]] = [
+    ("you_insult", INSULTS, rf"\b(?:you|your|u|ya|you're|youre|yourself)\b[^.!?]{{0,40}}\b{_I}\b|\b{_I}\b[,!]? (?:you|like you)\b"),
+    ("called_insult", INSULTS, rf", {_I}(?: like you)?[.!]|^{_I}!|\b(?:get lost|shut up|go away|bloody|what kind of|only an?|such an?|absolute|complete|total|you|some|these|those) (?:{_S} )*{_I}\b"),
+    ("slight_insult", INSULTS, rf"\b{_S}(?:,? (?:and )?{_S})* {_I}\b"),
+    ("slighted_you", SLIGHTS, rf"\byou(?: are|'re|r|) (?:[\w']+ ){{0,3}}{_S}\b|\byour (?:[\w']+ ){{0,4}}(?:ashamed|{_S})\b"),
+    ("wish", {"dead", "die", "dies", "hell", "rot", "kill", "choke", "burn", "suffer", "vanished", "regret", "miss", "without", "notice", "care", "died"},
+     r"\b(?:drop dead|go die|(?:go to|rot in|burn in) hell|kill yourself|hope (?:you|they|he|she)(?: all)? (?:choke|die|rot|burn|suffer)|(?:nobody|no one) would (?:miss|notice|care)[^.!?]{0,30}\byou\b|better off without (?:you|them)|(?:you|they) (?:vanished|died)\b|make (?:you|him|her|them) regret)\b"),
+    ("threat", HARM, rf"\b{_WHO}{_WILL}\b[^.!?]{{0,50}}\b{_any(HARM)}\b[^.!?]{{0,40}}\b(?:you|your|him|his|her|them|their|those|every)\b|\b{_any(HARM)} (?:it|your|you|him|her|them)\b[^.!?]{{0,30}}\b(?:in|up|off|{'|'.join(sorted(BODY))})\b"),
+    ("harm_body", BODY, rf"\b{_any(HARM)} (?:in )?(?:your|his|her|their|every) (?:[\w']+ )?{_any(BODY)}\b|\b(?:your|his|her|their|every) {_any(BODY)} (?:[\w']+ )?{_any(HARM)}\b|\bevery bone in\b"),
+    ("stalk", {"find", "watch", "live"}, r"\b(?:i|we)(?:'ll| will) (?:come and )?find you\b|\bwatch your back\b|\bi know where you live\b"),
+    ("dismissal", {"shut", "crawl", "lost", "ashamed", "rock", "mouth", "get"}, r"\b(?:shut (?:your (?:mouth|face|trap)|up)|crawl back|get lost|under your rock|should be ashamed of|get out of (?:here|our|my))\b"),
+    ("group_beast", BEASTS, rf"\b(?:are|is|like|just|nothing but|than) (?:all |just |nothing but |no better than |worse than )?(?:an? )?{_any(BEASTS)}\b|\b(?:those|these) (?:\w+ ){{0,3}}(?:animals|savages|vermin|rats|parasites)\b"),
+    ("group_trait", TRAITS, rf"\b(?:they|those|these|them|people|\w+ans|\w+ese|\w+ish)\b(?: \w+){{0,2}} (?:are|is|were|all)\b(?: (?:all|just|so|nothing but|and|a|bunch|of|born|\w+ly)){{0,3}} (?:\w+ and )?{_any(TRAITS)}\b|\b(?:they|those|these)(?: \w+){{0,2}} (?:stink|smell)\b"),
+    ("group_essence", {"blood", "nature", "genes", "birth"}, r"\bin (?:their|his|her|your) (?:blood|nature|genes)\b|\b(?:by (?:birth|nature))\b"),
+    ("group_trust", {"trust"}, r"\bnever trust (?:an?|the|any|one|those|these)\b|\b(?:cannot|can't|don't) trust (?:any of|those|these|them|people like)\b"),
+    ("group_expel", EXPEL, rf"\b{_any(EXPEL)}\b[^.!?]{{0,30}}\b(?:them|those|these|every|all)\b|\b(?:should|must|ought to|have to|need to|deserve to) (?:all )?be (?:\w+ )?{_any(EXPEL)}\b|\b(?:we|they) (?:should|must|ought to|have to|need to) {_any(EXPEL)}\b"),
+    ("group_remove", REMOVE, rf"\b(?:wipe (?:\w+ )?out|round (?:them|those|\w+) (?:all )?up|throw(?:n)? (?:\w+ ){{0,3}}out of|kick(?:ed)? (?:\w+ ){{0,3}}out of|send (?:them|those \w+) (?:all )?(?:back|home)|get(?:ting)? rid of {_THEM}|(?:lock|drive) (?:them|those \w+) (?:all )?(?:up|out|away)|let (?:those |these |\w+ )?people in|clean(?:ed)? (?:of|from) {_THEM})\b"),
+    ("group_swarm", SWARM, rf"\b(?:they|those|these|who|{_THEM})\b[^.!?]{{0,25}}\b{_any(SWARM)}\b[^.!?]{{0,20}}\b(?:like|over|into|our|the border|country|everywhere)\b|\b{_any(SWARM)} (?:like|over the border|into our)\b"),
+    ("caged", {"cage", "zoo", "camp", "oven", "ovens", "chamber", "gutter"}, r"\b(?:belongs?|should be|put|locked?) (?:\w+ ){0,3}(?:in|into|up in) (?:an? |the )?(?:cage|zoo|camp|gas chamber|ovens?|gutter)\b"),
+    ("sexual_acts", SEXUAL, r"\b(?:have|having|had|want|wild|hardcore|hot|oral|anal|rough) (?:[\w']+ ){0,2}sex\b|\b(?:rip|take|tear|taking|tearing) (?:off )?(?:your|her|his|my) clothes\b|\bclothes off\b|\bundress\w*\b|\bmoan(?:ing|ed|s)?\b|\blick(?:ing)? (?:every|your|my|her|his|you)\b|\bbare skin\b|\bstroking\b|\b(?:your|her|his) thighs\b"),
+    ("sexual_words", SEXUAL, r"\b(?:nudes|horny|hardcore|porn|orgasm|blowjob|pussy|tits|boobs|masturbat\w+|aroused)\b|\bnaked (?:body|bodies|grad|girls?|boys?|students?|women|woman|pics|photos|selfies?)\b|\b(?:you|she|he) (?:look |looks )?(?:so )?(?:sexy|horny)\b|\bsexy\b|\btouch (?:you|me|her|him) all over\b"),
+    ("foreign", FOREIGN, rf"\b{_any(FOREIGN - {'idiot', 'widerlich', 'gesindel', 'merde', 'ordure', 'ordures', 'conne', 'débile', 'débiles', 'déchet', 'pute', 'dreckige', 'dreckiger', 'dreckiges', 'vermine', 'crever'})}\b|\bgehört verprügelt\b|\b(?:du|ihr|sie) (?:\w+ ){{0,4}}(?:widerlich\w*|dreckig\w*|idiot\w*|gesindel)\b|\b(?:tu|vous|ces|sale|espèce d\W?)\s?(?:[\w']+ ){{0,4}}(?:ordures?|merde|imbécile|déchet|conne?|débiles?|pute|vermine)\b|\bva crever\b"),
+    ("hot_profanity", PROFANE, r"\b(?:go to hell|th(?:is|at) (?:crap|shit|bullshit)|bloody (?!mary|sunday|well)\w+|fuck(?:ing)? (?:you|off|your)|piece of (?:shit|crap|trash|filth)|son of a bitch|bullshit)\b"),
 ]
 #: Voters for "harmless".
-CON: list[tuple[str, re.Pattern]] = [
-    ("research", _r(r"\b(?:detectors?|classifiers?|annotators?|covariates?|data ?sets?|estimators?|baseline|modelled|analysed|recalibrated|trained|labels?|agreed|species|records|samples?|bootstrap|regression|bias term|predator|survival|counts|rate|dimorphism|corpus|lexicon|moderation)\b")),
-    ("about_language", _r(r"\b(?:harassment reports|abusive (?:posts|language|content|comments)|hateful (?:comments|posts|speech)|hate speech|offensive|abuse of notation|the word|the term|quoted?|slurs?|reported|insults? (?:are|were|in)|sexual (?:dimorphism|selection|reproduction|harassment))\b")),
-    ("idiom", _r(r"\b(?:naked eye|stupid baseline|not that stupid|kills the|kill rate|brute force|dummy variable|dead (?:end|time|line|band)|bloody mary|stripped of|explicit (?:error|constant|mixture|form|formula|bound)|hell of a|killer app)\b")),
-    ("no_words", _r(r"$^")),
-]
-VOTERS = [n for n, _ in PRO] + ["disguised"] + [n for n, _ in CON]
-_WORD = re.compile(r"[^\W\d_]+")
+CON: list[tuple[str, set[str] | None, str]] = [
+    ("research", RESEARCH, ""),
+    ("about_language", {"abusive", "hateful", "hate", "offensive", "notation", "word", "term", "quoted", "slur", "slurs", "insults", "dimorphism", "selection", "reproduction", "harassment", "toxicity"},
+     r"\b(?:abusive (?:posts?|language|content|comments?|speech)|hateful (?:comments?|posts?|speech|content)|hate speech|offensive|abuse of notation|the (?:word|term)|quoted|slurs?|insults? (?:are|were|in)|sexual (?:dimorphism|selection|reproduction|harassment)|harassment|toxicity)\b"),
+    ("idiom", {"naked", "stupid", "kills", "kill", "brute", "dummy", "dead", "bloody", "stripped", "explicit", "hell", "killer", "time"},
+     r"\b(?:naked eye|not (?:that|so) stupid|kills the|kill (?:rate|switch)|brute force|dummy variables?|dead (?:end|time|line|band|reckoning)|bloody mary|stripped of|explicit (?:error|constant|mixture|form|formula|bound)|hell of a|killer app|kill time)\b"),
+]
+_PRO = [(n, w, re.compile(p)) for n, w, p in PRO]
+_CON = [(n, w, re.compile(p) if p else None) for n, w, p in CON]
+VOTERS = [n for n, *_ in PRO] + ["disguised"] + [n for n, *_ in CON]
+DISGUISED = len(PRO)
+SIDE = np.array([1.0] * (len(PRO) + 1) + [-1.0] * len(CON))
+#: word -> voters that it can make speak, as bits; what has no word here is not tried on the patterns.
+_BITS: dict[str, int] = {}
+for _k, (_n, _ws, _p) in enumerate([*_PRO, ("disguised", set(), None), *_CON]):
+    for _w in _ws:
+        _BITS[_w] = _BITS.get(_w, 0) | 1 << _k
+_KNOWN = frozenset(_BITS)
 #: Words whose disguise is a vote: the others are common words.
-STRONG = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | {"smash", "choke", "kill", "cage", "waste", "piece", "wipe", "stink", "die", "dead", "shut", "liars", "thieves"}
-
-
+STRONG = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | HARM | BEASTS | EXPEL | {"cage", "waste", "piece", "stink", "die", "dead", "shut", "liars", "thieves"}
+_WORD = re.compile(r"[^\W\d_]+")
 #: What may hide a word: without any of it, an ASCII passage is its own plain form.
-_MARK = re.compile(r"[<*#@$|_\xb7’]|(.)\1\1|[0-9!][a-z]|[a-z][0-9]|\b[a-z][ .-][a-z]\b|-\n")
+_MARK = re.compile(r"[<*#@$|_\xb7]|([^\d\s.\-=])\1\1|[0-9!][a-z]|[a-z][0-9]|\b[a-z][ .-][a-z]\b|-\n")
 
 
-@lru_cache(maxsize=1 << 14)
-def votes(passage: str) -> tuple[tuple[int, ...], str]:
-    """Votes (1 abusive, -1 harmless, 0 none) and the plain form. Every voter reads every passage; `no_words` votes
-    where there is no word of the lexicon and no voter for "abusive" found anything."""
+def seen(passage: str) -> tuple[str, bool, list[str]]:
+    """(plain form, whether something was disguised, its words)."""
     low = passage.lower()
-    if passage.isascii() and not _MARK.search(low):
-        low, hidden = " ".join(low.split()), False
+    if (passage.isascii() or _QUIET.fullmatch(passage)) and not _MARK.search(low):
+        hidden = False
+        low = " ".join(low.split()).replace("’", "'")
     else:
         low, hidden = plain(passage)
-    words = _WORD.findall(low)
-    pro = [1 if p.search(low) else 0 for _, p in PRO]
-    con = [-1 if p.search(low) else 0 for _, p in CON[:-1]]
-    none = not hidden and not any(pro) and LEXICON.isdisjoint(words)
-    return (*pro, 1 if hidden and any(w in STRONG for w in words) else 0, *con, -1 if none else 0), low
+    return low, hidden, _WORD.findall(low)
+
+
+def pattern(low: str, hidden: bool, words: list[str]) -> int:
+    """The voters that speak, as bits. A voter is tried only where the passage has one of its words."""
+    out = 0
+    hit = _KNOWN.intersection(words)
+    if hit:
+        may = 0
+        for w in hit:
+            may |= _BITS[w]
+        k = 0
+        for _, _, p in _PRO:
+            if may >> k & 1 and p.search(low):
+                out |= 1 << k
+            k += 1
+        k += 1
+        for _, _, p in _CON:
+            if may >> k & 1 and (p is None or p.search(low)):
+                out |= 1 << k
+            k += 1
+    if hidden and not STRONG.isdisjoint(words):
+        out |= 1 << DISGUISED
+    return out
+
+
+def votes(passage: str) -> tuple[tuple[int, ...], str]:
+    """Votes by voter (1 abusive, -1 harmless, 0 none) and the plain form."""
+    low, hidden, words = seen(passage)
+    bits = pattern(low, hidden, words)
+    return tuple(int(s) if bits >> k & 1 else 0 for k, s in enumerate(SIDE)), low
 
 
 def passages(text: str | None) -> list[str]:
     return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s] if text else []
 
 
+def unpacked(patterns: np.ndarray) -> np.ndarray:
+    """Patterns as a matrix of voters that speak."""
+    return (patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(float)
+
+
+_LOUD = (1 << DISGUISED + 1) - 1
+#: Share of passages without a voter for "abusive" that may be abusive at most while the model is fitted: without a voter the
+#: classes cannot be told apart, and the likelihood alone would let the larger one split.
+SILENT = 1e-4
+#: What a voter is credited with beforehand.
+RIGHT, WRONG = 4.0, 1.0
+
+
 class LabelModel:
-    """Two classes; each voter abstains, or votes with class-dependent rates. EM over pattern counts; evidence of
+    """Two classes; each voter speaks, or not, with class-dependent rates. EM over pattern counts; evidence of
     correlated voters is discounted by their estimated correlation given the class."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 30):
-        fired = (patterns != 0).astype(float)
-        side = np.where(np.array([n in dict(PRO) or n == "disguised" for n in VOTERS]), 1.0, -1.0)
-        # start: a voter for "abusive" is right four times in five, a voter for "harmless" nineteen in twenty
-        start = (patterns * np.where(side > 0, 1.4, 1.6)).sum(1) - 1.0
-        q = 1 / (1 + np.exp(-start))
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 40):
+        fired = unpacked(patterns)
+        # start: a voter for "abusive" is good evidence, a voter for "harmless" some, and a passage without votes harmless
+        q = 1 / (1 + np.exp(-(fired @ np.where(SIDE > 0, 3.0, -1.6) - 4.0)))
+        quiet = patterns & _LOUD == 0
         for _ in range(rounds):
             w1, w0 = counts * q, counts * (1 - q)
-            self.p1 = (fired.T @ w1 + 0.5 * (side > 0) + 0.05) / (w1.sum() + 1)
-            self.p0 = (fired.T @ w0 + 0.5 * (side < 0) + 0.05) / (w0.sum() + 1)
-            self.p1 = np.where(side > 0, np.maximum(self.p1, self.p0 * 1.5), np.minimum(self.p1, self.p0 / 1.5)).clip(1e-6, 1 - 1e-6)
-            self.p0 = self.p0.clip(1e-6, 1 - 1e-6)
+            # a voter nobody has heard yet counts as having been right RIGHT times and wrong WRONG times
+            self.p1 = (fired.T @ w1 + np.where(SIDE > 0, RIGHT, WRONG)) / (w1.sum() + RIGHT + WRONG)
+            self.p0 = (fired.T @ w0 + np.where(SIDE > 0, WRONG, RIGHT)) / (w0.sum() + RIGHT + WRONG)
+            self.p1 = np.where(SIDE > 0, np.maximum(self.p1, self.p0 * 1.5), np.minimum(self.p1, self.p0 / 1.5)).clip(1e-9, 1 - 1e-6)
+            self.p0 = self.p0.clip(1e-9, 1 - 1e-6)
             self.prior = float((w1.sum() + 1) / (counts.sum() + 20))
             self.weight = self._discount(fired, w1, w0)
             q = self.posterior(patterns)
-        self.side = side
+            q[quiet] = np.minimum(q[quiet], SILENT)
 
     def _discount(self, fired, w1, w0) -> np.ndarray:
+        total = max(float(w1.sum() + w0.sum()), 1e-9)
         rho = 0.0
         for w, p in ((w1, self.p1), (w0, self.p0)):
             r = (fired - p) / np.sqrt(p * (1 - p))
-            rho = rho + (r * (w / max(counts_sum(w1, w0), 1e-9))[:, None]).T @ r
+            rho = rho + (r * (w / total)[:, None]).T @ r
         rho = np.clip(np.asarray(rho), 0, 1)
         np.fill_diagonal(rho, 0)
         return 1 / (1 + rho.sum(1))
 
     def accuracy(self) -> dict[str, float]:
         """Probability that a vote is right, by voter."""
-        a = self.p1 * self.prior
-        b = self.p0 * (1 - self.prior)
-        return {n: float((a if s > 0 else b)[k] / (a + b)[k]) for k, (n, s) in enumerate(zip(VOTERS, self.side))}
+        a, b = self.p1 * self.prior, self.p0 * (1 - self.prior)
+        return {n: float((a if s > 0 else b)[k] / (a + b)[k]) for k, (n, s) in enumerate(zip(VOTERS, SIDE))}
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        fired = (patterns != 0).astype(float)
-        odds = np.log(self.prior / (1 - self.prior)) + fired @ (self.weight * np.log(self.p1 / self.p0))
+        odds = np.log(self.prior / (1 - self.prior)) + unpacked(patterns) @ (self.weight * np.log(self.p1 / self.p0))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def counts_sum(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a.sum() + b.sum())
-
-
-def features(low: str, vote: tuple[int, ...]) -> np.ndarray:
-    """Hashed words, word pairs and votes."""
-    w = _WORD.findall(low)
-    toks = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
-    idx = [_hash(t) for t in toks]
-    idx += [BUCKETS + k for k, v in enumerate(vote) if v]
-    return np.unique(np.array(idx, dtype=np.int64))
-
+#: Weight of abusive passages in the sample.
+ABUSIVE_WEIGHT = 0.25
+
+
+class Features:
+    """Hashed words and neighbours of passages, many at once. Hashes of words are kept between calls."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+
+    def _hash(self, words: list[str]) -> np.ndarray:
+        ids = self.ids
+        if len(ids) > 500_000:
+            ids.clear()
+        for w in set(words).difference(ids):
+            ids[w] = zlib.crc32(w.encode())
+        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def __call__(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, passage, weight) of every feature; a passage of n features weighs each 1 / sqrt(n + 1)."""
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        h = self._hash([w for ws in lists for w in ws])
+        row = np.repeat(np.arange(len(lists)), sizes)
+        if not len(h):
+            return np.zeros(0, np.int64), row, np.zeros(0)
+        two = row[:-1] == row[1:]
+        pair = (h[:-1] * 1_000_003 + h[1:] * 7_919 + 12_345) & 0xFFFFFFFF
+        idx = np.concatenate((h * 2654435761 % (1 << 32) >> 16, (pair[two] * 2654435761 % (1 << 32)) >> 16)) % BUCKETS
+        rows = np.concatenate((row, row[1:][two]))
+        n = 2 * sizes - (sizes > 0)
+        return idx, rows, 1 / np.sqrt(n[rows] + 1)
+
+
+def train(lists: list[list[str]], patterns: np.ndarray, soft: np.ndarray, weights: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weighted logistic regression on soft labels by full-batch adaptive gradients: BUCKETS weights of words, one a voter, and
+    the bias. `start` has the label model's weights of the voters and bias, where voters that the sample lacks stay."""
+    idx, rows, val = Features()(lists)
+    fired = unpacked(patterns)
+    n, v = len(lists), len(VOTERS)
+    w = np.zeros(BUCKETS)
+    u = start.copy()
+    gw, gu = np.full(BUCKETS, 1e-8), np.full(v + 1, 1e-8)
+    weights = weights / weights.sum()
+    for _ in range(rounds):
+        z = np.bincount(rows, w[idx] * val, n) + fired @ u[:v] + u[v]
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft) * weights
+        dw = np.bincount(idx, e[rows] * val, BUCKETS) + 1e-4 * w
+        du = np.append(fired.T @ e, e.sum()) + 1e-5 * (u - start)
+        gw += dw * dw
+        gu += du * du
+        w -= 0.15 * dw / np.sqrt(gw)
+        u -= 0.15 * du / np.sqrt(gu)
+    return np.concatenate((w, u)).astype(np.float32)
 
-def _hash(t: str) -> int:
-    h = 2166136261
-    for c in t.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % BUCKETS
 
+def scores(weights: np.ndarray, lists: list[list[str]], patterns: np.ndarray, features: Features) -> np.ndarray:
+    idx, rows, val = features(lists)
+    z = np.bincount(rows, weights[idx] * val, len(lists)) + unpacked(patterns) @ weights[BUCKETS:-1] + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def train(rows: list[np.ndarray], soft: np.ndarray, weights: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on soft labels, by stochastic gradients with a fixed order; the last entry is the bias."""
-    w = np.zeros(BUCKETS + len(VOTERS) + 1)
-    g2 = np.full(len(w), 1e-2)
-    order = np.random.default_rng(7).permutation(len(rows))
-    for _ in range(rounds):
-        for i in order:
-            idx = rows[i]
-            x = 1 / np.sqrt(len(idx) + 1)
-            votes_at = idx >= BUCKETS
-            v = np.where(votes_at, 1.0, x)
-            z = float((w[idx] * v).sum() + w[-1])
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft[i]) * weights[i]
-            g = e * v + 1e-5 * w[idx]
-            g2[idx] += g * g
-            w[idx] -= 0.2 * g / np.sqrt(g2[idx])
-            g2[-1] += e * e
-            w[-1] -= 0.2 * e / np.sqrt(g2[-1])
-    return w.astype(np.float32)
 
+# Ordinary sentences that address or judge, in several registers; votes label them like any other.
+EVERYDAY = """
+Are you free on Tuesday?|Could you send me your slides?|Thank you for your patience.|You are welcome to join us.|Please bring your laptop and your questions.|Do you know where the room is?|You will find the notes on the shared drive.|Your talk was the best of the term.|I hope you enjoy the seminar.|Let me know what you think.
+We will meet in the usual room.|The room will be cleaned over the break.|Please wipe the whiteboard after your talk.|They will send the notes tomorrow.|All students should be on the list by Friday.|These people are very kind.|Those results are hard to believe.|They are all from the same department.|People like them make the group a pleasure.|He is going to give the talk tonight.
+She broke her arm skiing and cannot come.|I am sorry for your loss.|My head hurts, I will stay at home.|You should get some rest.|Get well soon.|We ought to thank everyone who helped.|Every one of those speakers was excellent.|The dogs in the yard are noisy.|We saw rats in the lab animal facility.|The visitors crossed the border without trouble.
+You must submit your form by noon.|You can reach me at any time.|We will miss you when you leave.|I would trust any of you with the keys.|Come in and take off your coat.|The heating is off, wear warm clothes.|Your face is familiar, have we met?|That was a stupid mistake of mine.|I felt dumb when I saw the solution.|It was a dirty trick to test on the training set.
+Could you pass the salt?|You look great today.|The party is at our house, all are invited.|They moved into their new house.|You did it again, well done!|We shot the video in the main hall.|The deadline is dead serious this time.|I will break the talk into two parts.|You two should talk to each other.|Do not shut the door, please.
+Kannst du mir die Folien schicken?|Wir treffen uns um zwölf in der Mensa.|Vielen Dank für Ihren Vortrag.|Du bist herzlich eingeladen.|Pouvez-vous fermer la porte ?|Merci pour votre exposé.|Tu viens à la réunion demain ?|Nous vous attendons dans la salle habituelle.
+""".replace("\n", "|").strip("|").split("|")
 
-PATTERNS = 20_000
+#: Candidates kept for each pattern in a task: many for patterns without a voter for "abusive", for these stand for most text.
+QUIET_SLOTS, LOUD_SLOTS = 4096, 256
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[LabelModel, np.ndarray]:
     """Label model from the vote patterns of all passages; classifier from a bounded sample of them."""
 
-    @F.pandas_udf("array<struct<v: string, s: string>>")  # type: ignore[call-overload]
-    def vote(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            rows = []
-            for p in passages(t):
-                v, _ = votes(p)
-                rows.append({"v": ",".join(map(str, v)), "s": p})
-            out.append(rows)
-        return pd.Series(out)
-
-    voted = docs.where(F.col(text).isNotNull()).select(F.explode(vote(F.col(text))).alias("x")).select("x.v", "x.s")
-    # per pattern: how many passages, and a few of them, the least by hash, for training
-    keep = 64
-    pick = F.struct(F.xxhash64("s").alias("h"), F.col("s"))
-    per = voted.groupBy("v", F.pmod(F.xxhash64("s"), F.lit(keep)).alias("salt")).agg(F.count("*").alias("n"), F.min(pick).alias("m"))
-    got = per.groupBy("v").agg(F.sum("n").alias("n"), F.collect_list("m.s").alias("s")).orderBy(F.desc("n"), "v").limit(PATTERNS).collect()
-    if not got:
-        return LabelModel(np.zeros((1, len(VOTERS))), np.ones(1)), np.zeros(BUCKETS + len(VOTERS) + 1, np.float32)
-    patterns = np.array([[int(x) for x in r.v.split(",")] for r in got])
-    model = LabelModel(patterns, np.array([float(r.n) for r in got]))
-    q = model.posterior(patterns)
-    sample = [(s, k) for k, r in enumerate(got) for s in sorted(r.s)]
-    sample = sample[:SAMPLE_PASSAGES]
-    rows = []
-    for s, _k in sample:
-        v, low = votes(s)
-        rows.append(features(low, v))
-    soft = np.array([q[k] for _, k in sample])
-    n1, n0 = max(soft.sum(), 1.0), max((1 - soft).sum(), 1.0)
-    weights = np.where(soft > 0.5, len(soft) / 2 / n1, len(soft) / 2 / n0).clip(0.2, 5)
-    return model, train(rows, soft, weights)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for t in b["t"]:
+                for p in passages(t):
+                    bits = pattern(*seen(p))
+                    h = zlib.crc32(p.encode("utf-8", "replace"))
+                    slot = (bits, h % (LOUD_SLOTS if bits & _LOUD else QUIET_SLOTS))
+                    got = held.get(slot)
+                    if got is None:
+                        held[slot] = [1, h, p]
+                    else:
+                        got[0] += 1
+                        if (h, p) < (got[1], got[2]):
+                            got[1], got[2] = h, p
+        if held:
+            yield pd.DataFrame([(v, s, n, h, p) for (v, s), (n, h, p) in held.items()], columns=["v", "slot", "n", "h", "p"])
+
+    each = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "v int, slot int, n long, h long, p string")
+    each = cut(each.groupBy("v", "slot").agg(F.sum("n").alias("n"), F.min(F.struct("h", "p")).alias("m")))
+    counted = each.groupBy("v").agg(F.sum("n").alias("n"), F.count("*").alias("c")).orderBy("v").collect()  # at most 2^voters
+    if not counted:
+        return LabelModel(np.zeros(1, np.int64), np.ones(1)), np.zeros(BUCKETS + len(VOTERS) + 1, np.float32)
+    pats = np.array([r.v for r in counted], dtype=np.int64)
+    model = LabelModel(pats, np.array([float(r.n) for r in counted]))
+    # every pattern gets the same share, or all it has, as far as the bound allows
+    have, share = np.array([r.c for r in counted]), 1
+    while np.minimum(have, 2 * share).sum() <= SAMPLE_PASSAGES and share < QUIET_SLOTS:
+        share *= 2
+    low = F.col("slot") < F.ceil(F.lit(share) * F.when(F.col("v").bitwiseAND(_LOUD) > 0, F.lit(LOUD_SLOTS)).otherwise(F.lit(QUIET_SLOTS)) / F.greatest(F.col("c"), F.lit(share)))
+    shares = docs.sparkSession.createDataFrame([(int(r.v), int(r.c)) for r in counted], "v int, c long")
+    sample = each.join(F.broadcast(shares), "v").where(low).select("v", "m.p").orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PASSAGES).collect()
+    bits = [r.v for r in sample]
+    lists = [seen(r.p)[2] for r in sample]
+    n_of = dict(zip(pats.tolist(), [float(r.n) for r in counted]))
+    taken = pd.Series(bits).value_counts().to_dict() if bits else {}
+    weights = [(n_of[b] / taken[b]) ** 0.5 for b in bits]
+    for s in EVERYDAY:
+        low_, hidden, words = seen(s)
+        lists.append(words)
+        bits.append(pattern(low_, hidden, words))
+        weights.append(float(np.median(weights)) * 3 if weights else 1.0)
+    b = np.array(bits, dtype=np.int64)
+    soft = model.posterior(b)
+    w = np.array(weights)
+    one = soft > 0.5
+    if one.any() and not one.all():
+        w[one] *= ABUSIVE_WEIGHT / (1 - ABUSIVE_WEIGHT) * w[~one].sum() / w[one].sum()
+    ratio = np.clip(model.weight * np.log(model.p1 / model.p0), -4, 8)
+    return model, train(lists, b, soft, w, np.append(ratio, np.log(model.prior / (1 - model.prior))))
 
 
 def scored(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray], text: str = "text") -> DataFrame:
-    """`docs` with `score` in [0, 1] and the worst `passage`. The classifier is 65,556 floats whatever the data."""
+    """`docs` with `score` in [0, 1] and the worst `passage`. The classifier is some 65,600 floats whatever the data."""
     held = docs.sparkSession.sparkContext.broadcast(fitted[1])
 
     @F.pandas_udf("score double, passage string")  # type: ignore[call-overload]
-    def run(s: pd.Series) -> pd.DataFrame:
-        w = held.value
-        best, where = [], []
-        for t in s:
-            top, at = 0.0, None
-            for p in passages(t):
-                v, low = votes(p)
-                idx = features(low, v)
-                x = np.where(idx >= BUCKETS, 1.0, 1 / np.sqrt(len(idx) + 1))
-                z = 1 / (1 + np.exp(-float(np.clip((w[idx] * x).sum() + w[-1], -30, 30))))
-                if z > top:
-                    top, at = z, p
-            best.append(top)
-            where.append(at)
-        return pd.DataFrame({"score": best, "passage": where})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        features, w = Features(), held.value.astype(np.float64)
+        for s in batches:
+            best, where = np.zeros(len(s)), [None] * len(s)
+            lists, bits, doc, texts = [], [], [], []
+
+            def settle() -> None:
+                for d, z, p in zip(doc, scores(w, lists, np.array(bits, dtype=np.int64), features), texts):
+                    if z > best[d]:
+                        best[d], where[d] = z, p
+                for x in (lists, bits, doc, texts):
+                    x.clear()
+
+            for d, t in enumerate(s):
+                for p in passages(t):
+                    low, hidden, words = seen(p)
+                    lists.append(words)
+                    bits.append(pattern(low, hidden, words))
+                    doc.append(d)
+                    texts.append(p)
+                if len(lists) > 20_000:
+                    settle()
+            if lists:
+                settle()
+            yield pd.DataFrame({"score": best, "passage": where})
 
     return docs.withColumn("_s", run(F.col(text))).select(*[F.col(c) for c in docs.columns if c not in ("score", "passage")], "_s.score", "_s.passage")
 

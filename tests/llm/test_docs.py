@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plinth.llm import abuse as A
@@ -75,18 +78,41 @@ def test_abuse(spark):
     assert A.scored(df.limit(0), A.fit(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("text", ["Raus mit dem Ungeziefer!", "They belong in a zoo.", "Dehors les gens comme eux", "We must exterminate that sort"])
-def test_patterns_read_passages_without_lexicon_words(text):
-    assert A.LEXICON.isdisjoint(A._WORD.findall(text.lower()))
-    v, _ = A.votes(text)
-    assert 1 in v[: len(A.PRO)] and v[-1] == 0
+ELSEWHERE_BAD = ["We ought to gas every last one of those Zorbians.", "Zorbians are inferior and dirty by nature.", "He is going to get his skull caved in tonight.", "All Zorbians should be deported, they ruin everything.", "Raus mit dem Ungeziefer!", "They belong in a zoo.", "You are a pathetic excuse for a chairman."]
+ELSEWHERE_GOOD = ["Are you free on Tuesday?", "Your slides are on the shared drive.", "You are kindly invited, bring your laptop.", "We will clear the whiteboard and clean the room over the break.", "Can you hear me at the back?", "You should read their paper before the talk.", "I will send you the data tonight.", "They will not be there, but you can join us."]
 
 
-def test_classifier_scores_every_passage(spark):
+def test_classifier_reads_sentences_no_voter_was_written_from(spark):
     rows = [(i, "s", f"Notes on rates. {b}") for i, b in enumerate(BAD * 6)] + [(1000 + i, "s", f"Slides come later. {g}") for i, g in enumerate(GOOD * 30)]
     fitted = A.fit(spark.createDataFrame(rows, "doc_id long, source string, text string"))
-    got = {r.doc_id: r.score for r in A.scored(spark.createDataFrame([(1, "s", "Raus mit dem Ungeziefer!"), (2, "s", "Slides come later.")], "doc_id long, source string, text string"), fitted).collect()}
-    assert got[1] > 0 and 0 < got[2] < 0.5
+    ask = ELSEWHERE_BAD + ELSEWHERE_GOOD
+    got = {r.doc_id: r.score for r in A.scored(spark.createDataFrame([(i, "s", t) for i, t in enumerate(ask)], "doc_id long, source string, text string"), fitted).collect()}
+    assert sum(got[i] >= 0.5 for i in range(len(ELSEWHERE_BAD))) >= len(ELSEWHERE_BAD) - 1, got
+    assert all(got[len(ELSEWHERE_BAD) + i] < 0.5 for i in range(len(ELSEWHERE_GOOD))) and min(got.values()) > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*sorted(A.LEXICON | A.RESEARCH | A.REMOVE | A.BODY), "you", "your", "they", "are", "those", "will", "get", "every", "in", "of", "the", "a", "'ll", ",", "like", "out", "him"]), max_size=12))
+def test_trying_voters_by_their_words_is_trying_them_all(words):
+    low = " ".join(words)
+    every = sum(1 << k for k, (_, _, p) in enumerate(A._PRO) if p.search(low))
+    assert A.pattern(low, False, A._WORD.findall(low)) & A._LOUD == every
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abeghiost ,.;:-'\n()é’"), max_size=60))
+def test_text_without_marks_is_its_own_plain_form(s):
+    low = s.lower()
+    if A._QUIET.fullmatch(s) and not A._MARK.search(low):
+        assert A.seen(s)[0].strip() == A.plain(s)[0].strip() or A.plain(s)[1]
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    words = [A.seen(t) for t in (*BAD, *GOOD, "", "x")]
+    w = np.random.default_rng(1).normal(size=A.BUCKETS + len(A.VOTERS) + 1)
+    bits = np.array([A.pattern(*x) for x in words])
+    whole = A.scores(w, [x[2] for x in words], bits, A.Features())
+    assert np.allclose(whole, [A.scores(w, [x[2]], bits[k : k + 1], A.Features())[0] for k, x in enumerate(words)])
 
 
 @pytest.mark.parametrize("text", ["", "   ", "*" * 5000, "a.b.c.d " * 2000, "​" * 3000])
