@@ -3,16 +3,19 @@
 Method. Every distinct spelling (given, middle initials, family) is a profile. Profiles meet in blocks keyed on
 one-deletion forms of the family name with the given initial, on the family name with one-deletion forms of the
 given name, and on personal-page keys. Matching profiles are merged: the merged profile has the union of their
-spellings, initials, page keys and listed persons, and enters blocking again with all of them. Within a round
-the strongest kind of evidence goes first (same name or short form; then typing errors; then bare initials,
-which need a single possible bearer), and rounds go on until no merge occurs.
+spellings, initials, page keys and listed persons. The strongest kind of evidence goes first (same name or short form;
+then typing errors; then bare initials, which need a single possible bearer), and after every merge it starts again at
+the strongest, for the richer profile may now pass where its parts did not. When nothing merges any more, merged
+profiles enter blocking again with their joined names (a given name of one spelling with a family name of another);
+what they meet there is new evidence. The whole iterates until blocking brings nothing new and no merge occurs.
 
 Never merged: profiles with different middle initials, with different personal-page keys, or named in a
 `never_merge` rule. A `merge` rule joins two spellings outright.
 
 Scale. Spellings are made distinct before blocking, so one speaker of a third of all rows is one profile; block
-keys hold family name and initial, never a family name alone. Labels spread by pointer jumping with the lineage
-cut each round.
+keys hold family name and initial, never a family name alone. No merge crosses from one connected set of evidence to
+another, so sets of up to LOCAL spellings are settled each in one row of a map, many sets a task; larger ones are
+settled by the same rules in joins over the cluster. Labels spread by pointer jumping with the lineage cut each round.
 
 Defined results: null, blank and placeholder cells name nobody; an empty roster or table gives no links;
 repeated rows give one link each; ties of two possible bearers give no link by initials.
@@ -98,9 +101,10 @@ def _judge(ga: pd.Series, fa: pd.Series, gb: pd.Series, fb: pd.Series) -> pd.Ser
 def _evidence(nodes: DataFrame, never: DataFrame | None, tied: DataFrame | None = None) -> DataFrame:
     """(a, b, level) of spellings that may be one name: every pair that shares a block, judged once."""
     block, judge = F.pandas_udf(_block, _KEYS), F.pandas_udf(_judge, "int")  # type: ignore[call-overload]
-    keyed = nodes.select("node", "g", "f", F.explode(block("g", "f")).alias("k"))
-    x, y = keyed.select("k", *[F.col(c).alias(f"{c}_a") for c in ("node", "g", "f")]), keyed.select("k", *[F.col(c).alias(f"{c}_b") for c in ("node", "g", "f")])
-    pairs = x.join(y, "k").where(F.col("node_a") < F.col("node_b")).drop("k").distinct()
+    keyed = nodes.select("node", F.explode(block("g", "f")).alias("k")).select("node", F.xxhash64("k").alias("k"))
+    pairs = keyed.toDF("node_a", "k").join(keyed.toDF("node_b", "k"), "k").where(F.col("node_a") < F.col("node_b")).select("node_a", "node_b").distinct()
+    for e in ("a", "b"):
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{e}") for c in ("node", "g", "f")]), f"node_{e}")
     pairs = pairs.withColumn("level", judge("g_a", "f_a", "g_b", "f_b")).where(F.col("level") > 0)
     if never is not None:
         pairs = pairs.withColumns({"sa": F.concat_ws("_", "g_a", "f_a"), "sb": F.concat_ws("_", "g_b", "f_b")})
@@ -180,29 +184,135 @@ def _moved(nodes: DataFrame, merges: DataFrame, level: int) -> DataFrame:
     return cut(nodes.join(to, "label", "left").withColumn("label", F.coalesce("_l", "label")).drop("_l"))
 
 
-def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None, tied: DataFrame | None = None) -> DataFrame:
-    """`nodes` (g, m, f, web: array, n, node) with `label`, common to all spellings of an entity. Spellings are judged
-    once; a merged profile meets every profile that any of its spellings meets, under its gathered middle initials,
-    page keys and weight, until no further merge occurs. `tied` (a, b) are spellings that belong together anyway."""
-    evidence = _evidence(nodes, never, tied)
-    nodes = cut(nodes.select("node", F.col("node").alias("label"), "g", "m", "f", "web", "n"))
-    todo = [SAME, TYPO, INITIAL, TYPO_INITIAL]
-    while todo:
+#: Spellings of a connected set up to which it is settled within one row.
+LOCAL = 2_000
+LEVELS = (SAME, TYPO, INITIAL, TYPO_INITIAL)
+
+
+def settle(nodes: list[dict], edges: list[tuple[int, int, int]]) -> dict[int, int]:
+    """node -> label of one connected set: the rules of `_profiles`, `_chosen` and `_moved` in memory."""
+    label = {x["node"]: x["node"] for x in nodes}
+    while True:
+        mids: dict[int, set] = {}
+        webs: dict[int, set] = {}
+        full: dict[int, bool] = {}
+        n: dict[int, int] = {}
+        for x in nodes:
+            v = label[x["node"]]
+            mids.setdefault(v, set()).update([x["m"]] if x["m"] else [])
+            webs.setdefault(v, set()).update(x["web"])
+            full[v] = full.get(v, False) or len(x["g"]) > 1
+            n[v] = n.get(v, 0) + x["n"]
+        met: dict[tuple[int, int], int] = {}
+        for i, j, lv in edges:
+            x, y = label[i], label[j]
+            if x != y:
+                k = (x, y) if x < y else (y, x)
+                met[k] = max(lv, met.get(k, 0))
+        apart = lambda d, x, y: bool(d[x] and d[y] and d[x].isdisjoint(d[y]))
+        open_ = [(x, y, lv) for (x, y), lv in met.items() if lv >= PAGE or not (apart(mids, x, y) or apart(webs, x, y))]
+        move: dict[int, int] = {}
+        for level in LEVELS:
+            if level == SAME:
+                for x, y, lv in open_:
+                    if lv >= SAME:
+                        move[x], move[y] = min(move.get(x, x), y), min(move.get(y, y), x)
+            else:
+                weak: dict[int, list] = {}
+                for x, y, lv in open_:
+                    if lv != level or level in (INITIAL, TYPO_INITIAL) and full[x] == full[y]:
+                        continue
+                    first = not full[x] if level in (INITIAL, TYPO_INITIAL) else n[x] < n[y] or n[x] == n[y] and x > y
+                    w, s = (x, y) if first else (y, x)
+                    weak.setdefault(w, []).append((n[s], s))
+                for w, bearers in weak.items():
+                    top = max(bearers)
+                    if len(bearers) == 1 or level == TYPO and (sum(k for k, _ in bearers) - top[0]) * 3 <= top[0]:
+                        move[w] = top[1]
+            if move:
+                break
+        if not move:
+            return label
+        label = {v: move.get(move.get(x, x), move.get(x, x)) for v, x in label.items()}
+
+
+def _settle_sets(nodes: pd.Series, edges: pd.Series) -> pd.Series:
+    out = []
+    for ns, es in zip(nodes, edges):
+        ns = [{"node": x["node"], "g": x["g"], "m": x["m"], "web": list(x["web"]), "n": x["n"]} for x in ns]
+        got = settle(ns, [(e["na"], e["nb"], e["level"]) for e in es])
+        out.append([{"node": k, "label": v} for k, v in got.items()])
+    return pd.Series(out)
+
+
+def _joined_by_loop(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(node, label) by joins over the cluster, for connected sets of any size."""
+    nodes = cut(nodes.withColumn("label", F.col("node")))
+    while True:
         prof, lab = _profiles(nodes), nodes.select("node", "label")
         met = evidence.join(lab.toDF("na", "la"), "na").join(lab.toDF("nb", "lb"), "nb").where(F.col("la") != F.col("lb"))
         met = met.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.max("level").alias("level"))
         for end in ("a", "b"):
             met = met.join(prof.toDF(end, *[f"{c}_{end}" for c in prof.columns[1:]]), end)
         met = cut(met.where((F.col("level") >= PAGE) | ~(_apart("mids") | _apart("web"))).select("a", "b", "level", "full_a", "full_b", "n_a", "n_b"))
-        merges = _chosen(met, todo[0])
-        while merges.isEmpty():
-            todo.pop(0)
-            if not todo:
+        for level in LEVELS:  # from the strongest after every merge
+            merges = _chosen(met, level)
+            if not merges.isEmpty():
+                nodes = _moved(nodes, merges, level)
                 break
-            merges = _chosen(met, todo[0])
-        if todo:
-            nodes = _moved(nodes, merges, todo[0])
-    return nodes
+        else:
+            return nodes.select("node", "label")
+
+
+def _settled(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(node, label) of every spelling under the evidence there is."""
+    sets = _relabel(nodes.select("node", F.col("node").alias("label")), evidence.select(F.col("na").alias("a"), F.col("nb").alias("b"))).withColumnRenamed("label", "set")
+    sized = sets.groupBy("set").agg(F.count("*").alias("c")).where("c > 1")
+    inner = nodes.join(sets, "node").join(sized, "set")
+    edges = evidence.join(sets.toDF("na", "set"), "na").join(sized, "set")
+    local_nodes = inner.where(F.col("c") <= LOCAL).groupBy("set").agg(F.collect_list(F.struct("node", "g", "m", "web", "n")).alias("ns"))
+    local_edges = edges.where(F.col("c") <= LOCAL).groupBy("set").agg(F.collect_list(F.struct("na", "nb", "level")).alias("es"))
+    run = F.pandas_udf(_settle_sets, "array<struct<node: bigint, label: bigint>>")  # type: ignore[call-overload]
+    lab = local_nodes.join(local_edges, "set").select(F.explode(run("ns", "es")).alias("x")).select("x.*")
+    if not sized.where(F.col("c") > LOCAL).isEmpty():
+        lab = lab.union(_joined_by_loop(inner.where(F.col("c") > LOCAL).select(*nodes.columns), edges.where(F.col("c") > LOCAL).select("na", "nb", "level")))
+    return cut(nodes.select("node").join(lab, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+
+def _met_again(nodes: DataFrame, labels: DataFrame, never: DataFrame | None, known: DataFrame) -> DataFrame:
+    """New evidence (na, nb, level): merged profiles enter blocking with their joined names, given names of some of their
+    spellings with family names of others. na and nb are labels."""
+    j = nodes.join(labels, "node")
+    by = j.groupBy("label").agg(F.collect_set("g").alias("gs"), F.collect_set("f").alias("fs"), F.collect_set(F.struct("g", "f")).alias("own"))
+    by = by.where((F.size("gs") > 1) & (F.size("fs") > 1))
+    made = by.select("label", "own", F.explode("gs").alias("g"), "fs").select("label", "own", "g", F.explode("fs").alias("f")).where(~F.array_contains("own", F.struct("g", "f")) & (F.length("g") > 1))
+    made = cut(made.select(F.col("label").alias("node"), "g", "f"))
+    if made.isEmpty():
+        return known.limit(0)
+    block, judge = F.pandas_udf(_block, _KEYS), F.pandas_udf(_judge, "int")  # type: ignore[call-overload]
+    keyed = lambda d, e: d.select(*[F.col(c).alias(f"{c}_{e}") for c in ("node", "g", "f")], F.explode(block("g", "f")).alias("k")).withColumn("k", F.xxhash64("k"))
+    pairs = keyed(made, "a").join(keyed(j.select(F.col("label").alias("node"), "g", "f").distinct(), "b"), "k").where(F.col("node_a") != F.col("node_b")).drop("k").distinct()
+    pairs = pairs.withColumn("level", judge("g_a", "f_a", "g_b", "f_b")).where(F.col("level") > 0)
+    if never is not None:
+        both = never.union(never.select(F.col("o"), F.col("s"))).toDF("sa", "sb")
+        pairs = pairs.withColumns({"sa": F.concat_ws("_", "g_a", "f_a"), "sb": F.concat_ws("_", "g_b", "f_b")}).join(both, ["sa", "sb"], "left_anti")
+    new = pairs.groupBy(F.least("node_a", "node_b").alias("na"), F.greatest("node_a", "node_b").alias("nb")).agg(F.max("level").alias("level"))
+    # what the two profiles had between them before is not new
+    old = known.join(labels.toDF("na", "la"), "na").join(labels.toDF("nb", "lb"), "nb").groupBy(F.least("la", "lb").alias("na"), F.greatest("la", "lb").alias("nb")).agg(F.max("level").alias("had"))
+    return new.join(old, ["na", "nb"], "left").where(F.col("level") > F.coalesce("had", F.lit(0))).select("na", "nb", "level")
+
+
+def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None, tied: DataFrame | None = None) -> DataFrame:
+    """`nodes` (g, m, f, web: array, n, node) with `label`, common to all spellings of an entity. `tied` (a, b) are spellings
+    that belong together anyway."""
+    nodes = cut(nodes.select("node", "g", "m", "f", "web", "n"))
+    evidence = _evidence(nodes, never, tied)
+    while True:
+        labels = _settled(nodes, evidence)
+        new = cut(_met_again(nodes, labels, never, evidence))
+        if new.isEmpty():
+            return nodes.join(labels, "node")
+        evidence = cut(evidence.union(new))
 
 
 def resolve(talks: DataFrame, people: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

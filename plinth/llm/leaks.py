@@ -9,7 +9,9 @@ comparison that needs `words` whole consecutive words.
 
 Scale. Documents are mapped to fingerprints without a shuffle; the evaluation side is broadcast only if its
 fingerprints are few (checked), else both sides meet in a shuffled join on the fingerprint, where AQE splits
-hot fingerprints. Candidates are (document, item) pairs, not texts.
+hot fingerprints. Candidates are (document, item) pairs, not texts. For the extension the candidates of a document are
+one row; they, and the items' passages, are broadcast behind checks of rows and bytes, so that the texts are read again
+where they lie; beyond the bounds the texts of documents move.
 
 Defined results: null and empty texts match nothing; items with fewer than `words` words match nothing;
 repeated document rows are reported once per doc_id; texts are read whole.
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.lookalikes import LOOKALIKES
-from plinth.session import small
+from plinth.session import cut, small
 
 WORDS = 12
 #: Evaluation fingerprints up to which the evaluation side is broadcast (16 bytes each).
 BROADCAST_FINGERPRINTS = 1_000_000
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+#: Candidate documents, and items, up to which they are broadcast, and the bytes that one of them may have.
+HIT_DOCUMENTS, HIT_BYTES = 200_000, 200
+ITEMS, ITEM_BYTES = 2_000, 16_384
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _MAP = str.maketrans({k: v for k, v in LOOKALIKES.items() if len(k) == 1})
 _NOT = re.compile(r"[\W_]+")
 _MASK = np.uint64(0x9E3779B97F4A7C15)
@@ -135,12 +140,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     side = wanted.select("_item", F.explode("_p").alias("_q")).select("_item", F.explode(prints("_q")).alias("_f")).distinct()
     train = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.explode(prints(F.col(text))).alias("_f"))
     pairs = train.join(small(side, BROADCAST_FINGERPRINTS), "_f").select("_doc", "_item").distinct()
-    need = wanted.groupBy("_item").agg(F.flatten(F.collect_list("_p")).alias("_p"))
-    near = pairs.join(small(need, 20_000), "_item").select("_doc", "_item", "_p")
+    pairs = cut(pairs.groupBy("_doc").agg(F.collect_set("_item").alias("_items")))
+    need = cut(wanted.groupBy("_item").agg(F.array_distinct(F.flatten(F.collect_list("_p"))).alias("_p")))
 
     @F.pandas_udf("boolean")  # type: ignore[call-overload]
     def extend(t: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([isinstance(a, str) and _holds(a, list(b)) for a, b in zip(t, p)])
 
-    hits = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(near, "_doc").where(extend("_text", "_p"))
+    hits = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(small(pairs, HIT_DOCUMENTS, HIT_BYTES), "_doc")
+    hits = hits.withColumn("_item", F.explode("_items")).join(small(need, ITEMS, ITEM_BYTES), "_item").where(extend("_text", "_p"))
     return hits.select(F.col("_doc").alias(doc), F.col("_item").alias(item)).distinct()

@@ -22,10 +22,11 @@ def test_leaks_every_disguise(spark):
     docs = [
         (1, f"intro. {twelve} outro"), (2, twelve.upper().replace(",", "")), (3, "x " * 30_000 + twelve.replace("log-normal", "log-nor-\nmal") + " y" * 1000), (4, f"<p>{twelve.replace(' ', ' <b>', 1)}</b></p>"),
         (5, twelve.replace("a", "а").replace("e", "е")), (6, " ".join(Q.split()[3:14])), (7, None), (8, ""), (9, "w" + twelve), (10, twelve.replace(" ", "  \n")), (1, f"intro. {twelve} outro"), (11, " ".join(ANSWER.split()[1:14])),
+        (12, twelve.replace(" ", ' <a href="http://' + "long" * 60 + '">', 1)),
     ]
     df = spark.createDataFrame([(a, b, "clash") for a, b in docs], "doc_id long, text string, item_id string")
     got = sorted((r.doc_id, r.item_id) for r in leaks.leaks(df, items(spark)).collect())
-    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (10, 1), (11, 1)]
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (10, 1), (11, 1), (12, 1)]
     assert leaks.leaks(df.limit(0), items(spark)).count() == 0 and leaks.leaks(df, items(spark).limit(0)).count() == 0
 
 
@@ -37,6 +38,35 @@ def test_winnowing_guarantee():
         assert set(leaks.fingerprints(a, 12, 19)) & set(leaks.fingerprints(b, 12, 19))
 
 
+def test_leaks_beyond_the_broadcast_bounds(spark, monkeypatch):
+    for bound in ("BROADCAST_FINGERPRINTS", "HIT_DOCUMENTS", "ITEMS"):
+        monkeypatch.setattr(leaks, bound, 0)
+    df = spark.createDataFrame([(1, "a " + Q), (2, ANSWER), (3, "nothing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(df, items(spark)).collect()) == [(1, 1), (2, 1)]
+
+
+def test_crossover_packs_what_best_fit_cannot():
+    """Triplets that fill a container exactly: best fit decreasing needs more containers than the genetic algorithm."""
+    saved = greedy = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(30):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(251, (1000 - a) // 2))
+            sizes += [a, b, 1000 - a - b]
+        sizes = np.array(sizes)
+        plain = packing._fit(sizes, np.argsort(-sizes, kind="stable"), 1000)
+        best = []
+        for epoch in range(8):
+            best = [packing._evolve(sizes, best, 1000, seed=epoch)]
+        assert sorted(i for b in best[0] for i in b) == list(range(len(sizes))) and max(sizes[b].sum() for b in best[0]) <= 1000
+        assert 30 <= len(best[0]) <= len(plain)
+        saved += len(plain) - len(best[0])
+        greedy += len(plain) - 30
+    assert saved >= greedy / 3, (saved, greedy)
+
+
 def test_packing_is_whole_and_never_overfull(spark):
     rnd = random.Random(2)
     docs = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(1, 400)))) for i in range(400)] + [(1000, "word " * 5000), (1001, None), (1002, ""), (5, "again")]
