@@ -66,3 +66,18 @@ def details_shown(room: Column, default_room: Column, time: Column, default_time
 def redirects(talks: DataFrame, url: str, date: str, slug: str, label: Column) -> DataFrame:
     """Every spelling of every legacy url with the anchor it leads to."""
     return talks.select(F.explode(X.both_paddings(F.col(url))).alias("url"), F.concat(F.lit("/archive.html#"), X.anchor(F.col(date), F.col(slug))).alias("target"), label.alias("label"))
+
+
+def is_break(kind: Column) -> Column:
+    """Rows that say there is no meeting; an open date is none."""
+    return F.coalesce(kind.isin("no_meeting", "cancelled"), F.lit(False))
+
+
+def roster_people(roster: DataFrame, people: DataFrame, member: str, key: str) -> DataFrame:
+    """Members of a roster with their record; members nobody knows are left out."""
+    return roster.join(people, F.col(member) == F.col(key)).drop(key)
+
+
+def gate(rows: DataFrame, what: str, least: int) -> DataFrame:
+    """(what, n, least, ok): whether there are as many rows as a publication must have."""
+    return rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n", F.lit(least).alias("least"), (F.col("n") >= least).alias("ok"))
