@@ -202,18 +202,40 @@ _KNOWN = frozenset(_BITS)
 #: Words whose disguise is a vote: the others are common words.
 STRONG = INSULTS | SLIGHTS | PROFANE | SEXUAL | FOREIGN | HARM | BEASTS | EXPEL | {"cage", "waste", "piece", "stink", "die", "dead", "shut", "liars", "thieves"}
 _WORD = re.compile(r"[^\W\d_]+")
-#: What may hide a word: without any of it, an ASCII passage is its own plain form.
-_MARK = re.compile(r"[<*#@$|_\xb7]|([^\d\s.\-=])\1\1|[0-9!][a-z]|[a-z][0-9]|\b[a-z][ .-][a-z]\b|-\n")
+#: What may hide a word: without any of it, a passage is its own plain form. Letters in threes and letters by themselves are
+#: looked for in its words.
+_MARK = re.compile(r"[<*#@$|_\xb7]|[0-9!][a-z]|[a-z][0-9]|-\n")
+_ALONE = re.compile(r"\b[^\W\d_][ .\-][^\W\d_]\b")
+_THREE = re.compile(r"([^\W\d_])\1\1")
+_MAYBE = re.compile(r"[<*#@$|_\xb7\d!]|-\n")
+#: Bytes with everything but letters as blanks.
+_BLANKS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+#: A word spelt letter by letter has one of these by itself.
+_SINGLES = frozenset("bcdefghjklmnopqrstuvwxyz")
+#: Words known to have no letter three times in a row; a cache.
+_CALM: set[str] = set()
+
+
+def _stretched(words: list[str]) -> bool:
+    if _CALM.issuperset(words):
+        return False
+    if len(_CALM) > 500_000:
+        _CALM.clear()
+    new = set(words) - _CALM
+    wild = {w for w in new if _THREE.search(w)}
+    _CALM.update(new - wild)
+    return bool(wild)
 
 
 def seen(passage: str) -> tuple[str, bool, list[str]]:
     """(plain form, whether something was disguised, its words)."""
     low = passage.lower()
-    if (passage.isascii() or _QUIET.fullmatch(passage)) and not _MARK.search(low):
-        hidden = False
-        low = " ".join(low.split()).replace("’", "'")
-    else:
-        low, hidden = plain(passage)
+    plain_ascii = passage.isascii()
+    if (plain_ascii or _QUIET.fullmatch(passage)) and not (_MAYBE.search(low) and _MARK.search(low)):
+        words = low.encode().translate(_BLANKS).decode().split() if plain_ascii else _WORD.findall(low)
+        if not _stretched(words) and (plain_ascii and _SINGLES.isdisjoint(words) or not _ALONE.search(low)):
+            return " ".join(low.split()).replace("’", "'"), False, words
+    low, hidden = plain(passage)
     return low, hidden, _WORD.findall(low)
 
 

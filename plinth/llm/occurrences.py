@@ -141,22 +141,30 @@ def name_words(cell: list[str]) -> set[str]:
     return out
 
 
-def word_forms(words_of):
-    """Column function: array of struct(w: word, ks: its forms with up to one letter missing, for words of four letters and
-    more) of the words that `words_of` finds in a cell. Two words within one edit share a form."""
+def words_of(find):
+    """Column function: the words that `find` finds in a cell."""
 
-    @F.pandas_udf("array<struct<w: string, ks: array<string>>>")  # type: ignore[call-overload]
+    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
     def run(cells: pd.Series) -> pd.Series:
-        return pd.Series([[{"w": w, "ks": names.deletions(w) if len(w) >= 4 else []} for w in sorted(words_of(c))] for c in cells])
+        return pd.Series([sorted(find(c)) for c in cells])
 
     return run
 
 
+def forms(w: Column) -> Column:
+    """A word and it with one letter missing, for words of four letters and more: two within one edit share a form. The
+    damaged character is none."""
+    v = F.replace(w, F.lit("�"), F.lit(""))
+    n = F.length(v)
+    gone = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, n)))
+    return F.when(n >= 4, F.array_distinct(F.concat(F.array(v), gone))).otherwise(F.array().cast("array<string>"))
+
+
 def met_by_name(left: DataFrame, right: DataFrame, *where: str) -> DataFrame:
     """(na, nb) of nodes of both sides, within equal `where`, that have a name word in common or two within one edit. Equal
-    words meet once, not on every form; each side is (node, *where, k: struct(w, ks)), one row a word."""
-    word = lambda d, n: d.select(F.col("node").alias(n), F.xxhash64(*where, "k.w").alias("x"))
-    form = lambda d, n, w: d.select(F.col("node").alias(n), F.xxhash64("k.w").alias(w), *where, F.explode("k.ks").alias("f")).select(n, w, F.xxhash64(*where, "f").alias("x"))
+    words meet once, not on every form; each side is (node, *where, w), one row a word."""
+    word = lambda d, n: d.select(F.col("node").alias(n), F.xxhash64(*where, "w").alias("x"))
+    form = lambda d, n, w: d.select("node", "w", *where, F.explode(forms(F.col("w"))).alias("f")).select(F.col("node").alias(n), F.xxhash64("w").alias(w), F.xxhash64(*where, "f").alias("x"))
     same = word(left, "na").join(word(right, "nb"), "x").select("na", "nb")
     return same.union(form(left, "na", "v").join(form(right, "nb", "w"), "x").where(F.col("v") != F.col("w")).select("na", "nb"))
 
@@ -195,6 +203,12 @@ def title_keys(st: Column, w: Column) -> Column:
     return F.array_distinct(F.concat(pairs, F.when(st != "", F.array(F.substring(st, 1, 8), F.substring(st, -8, 8))).otherwise(F.array().cast("array<string>"))))
 
 
+def may_agree(sa: Column, wa: Column, sb: Column, wb: Column) -> Column:
+    """Whether two titles (squeezed, hashed words) can be one: two words in common, or the same beginning or end, or one is
+    missing. Titles that agree differ in a letter in ten at most, or in a word in five."""
+    return (sa == "") | (sb == "") | (F.substring(sa, 1, 8) == F.substring(sb, 1, 8)) | (F.substring(sa, -8, 8) == F.substring(sb, -8, 8)) | (F.size(F.array_intersect(wa, wb)) >= 2)
+
+
 def _hashed(df: DataFrame, keys: Column, *where: str) -> DataFrame:
     """(node, k): one row a key, hashed together with the columns it holds within."""
     return df.select("node", *where, F.explode(keys).alias("_key")).select("node", F.xxhash64(*where, "_key").alias("k"))
@@ -227,7 +241,7 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
     spoken, mute = nodes.where(F.size("said") > 0), nodes.where((F.size("said") == 0) & (F.length("st") >= 20))
     dated, undated = F.col("day").isNotNull(), F.col("day").isNull()
     pieces = title_keys(F.col("st"), F.col("w"))
-    named = cut(spoken.select("node", "day", "term", F.explode(word_forms(name_words)("said")).alias("k")))
+    named = cut(spoken.select("node", "day", "term", F.explode(words_of(name_words)("said")).alias("w")))
     met = [met_by_name(named.where(dated), named.where(dated), "day").where(F.col("na") < F.col("nb")), met_by_name(named.where(undated), named, "term")]
     titled = nodes.where(F.length("st") >= 20)
     met.append(_hashed(mute.where(dated), pieces, "day").toDF("na", "k").join(_hashed(titled.where(dated), pieces, "day").toDF("nb", "k"), "k").select("na", "nb"))
@@ -237,7 +251,8 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
         pairs = pairs.union(more.where(F.col("na") != F.col("nb")).select(F.least("na", "nb"), F.greatest("na", "nb")))
     pairs = pairs.distinct()
     for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("node", "day", "st", "said")]), F.col(f"n{end}") == F.col(f"node_{end}"))
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("node", "day", "st", "said")], F.transform("w", lambda x: F.hash(x)).alias(f"w_{end}")), F.col(f"n{end}") == F.col(f"node_{end}"))
+    pairs = pairs.where(may_agree(*[F.col(c) for c in ("st_a", "w_a", "st_b", "w_b")]))
     edges = pairs.withColumn("level", judge("day_a", "day_b", "st_a", "st_b", "said_a", "said_b")).where(F.col("level") > 0)
     edges = cut(edges.select("node_a", "node_b", "level", F.col("day_a").isNull().alias("ua"), F.col("day_b").isNull().alias("ub"), (F.col("st_a") == "").alias("ta"), (F.col("st_b") == "").alias("tb")))
     lab = nodes.select("node", F.col("node").alias("label"))
