@@ -398,6 +398,8 @@ Could you pass the salt?|You look great today.|The party is at our house, all ar
 Kannst du mir die Folien schicken?|Wir treffen uns um zwölf in der Mensa.|Vielen Dank für Ihren Vortrag.|Du bist herzlich eingeladen.|Pouvez-vous fermer la porte ?|Merci pour votre exposé.|Tu viens à la réunion demain ?|Nous vous attendons dans la salle habituelle.
 """.replace("\n", "|").strip("|").split("|")
 
+#: Passages whose votes or score a task keeps at hand.
+KNOWN = 100_000
 #: Candidates kept for each pattern in a task: many for patterns without a voter for "abusive", for these stand for most text.
 QUIET_SLOTS, LOUD_SLOTS = 4096, 256
 
@@ -407,11 +409,16 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[LabelModel, np.ndarray]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list] = {}
+        known: dict[str, tuple[int, int]] = {}  # passages often recur
         for b in batches:
             for t in b["t"]:
                 for p in passages(t):
-                    bits = pattern(*seen(p))
-                    h = zlib.crc32(p.encode("utf-8", "replace"))
+                    got = known.get(p)
+                    if got is None:
+                        if len(known) > KNOWN:
+                            known.clear()
+                        got = known[p] = pattern(*seen(p)), zlib.crc32(p.encode("utf-8", "replace"))
+                    bits, h = got
                     slot = (bits, h % (LOUD_SLOTS if bits & _LOUD else QUIET_SLOTS))
                     got = held.get(slot)
                     if got is None:
@@ -464,12 +471,14 @@ def scored(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray], text: str = "
     @F.pandas_udf("score double, passage string")  # type: ignore[call-overload]
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         features, w = Features(), held.value.astype(np.float64)
+        known: dict[str, float] = {}
         for s in batches:
             best, where = np.zeros(len(s)), [None] * len(s)
             lists, bits, doc, texts = [], [], [], []
 
             def settle() -> None:
                 for d, z, p in zip(doc, scores(w, lists, np.array(bits, dtype=np.int64), features), texts):
+                    known[p] = z
                     if z > best[d]:
                         best[d], where[d] = z, p
                 for x in (lists, bits, doc, texts):
@@ -477,13 +486,20 @@ def scored(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray], text: str = "
 
             for d, t in enumerate(s):
                 for p in passages(t):
+                    z = known.get(p)
+                    if z is not None:
+                        if z > best[d]:
+                            best[d], where[d] = z, p
+                        continue
                     low, hidden, words = seen(p)
                     lists.append(words)
                     bits.append(pattern(low, hidden, words))
                     doc.append(d)
                     texts.append(p)
-                if len(lists) > 20_000:
+                if len(lists) > 5_000:
                     settle()
+            if len(known) > KNOWN:
+                known.clear()
             if lists:
                 settle()
             yield pd.DataFrame({"score": best, "passage": where})

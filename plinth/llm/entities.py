@@ -186,11 +186,43 @@ def _moved(nodes: DataFrame, merges: DataFrame, level: int) -> DataFrame:
 
 #: Spellings of a connected set up to which it is settled within one row.
 LOCAL = 2_000
+#: never_merge rules, which are made by hand, at most.
+RULES = 100_000
 LEVELS = (SAME, TYPO, INITIAL, TYPO_INITIAL)
 
 
-def settle(nodes: list[dict], edges: list[tuple[int, int, int]]) -> dict[int, int]:
-    """node -> label of one connected set: the rules of `_profiles`, `_chosen` and `_moved` in memory."""
+def _again(nodes: list[dict], label: dict[int, int], edges: list[tuple[int, int, int]], never: frozenset) -> list[tuple[int, int, int]]:
+    """`_met_again` for one connected set in memory."""
+    own: dict[int, set] = {}
+    for x in nodes:
+        own.setdefault(label[x["node"]], set()).add((x["g"], x["f"]))
+    made = [(v, g, f) for v, names_ in own.items() if len(names_) > 1 for g in {g for g, _ in names_ if len(g) > 1} for f in {f for _, f in names_} if (g, f) not in names_]
+    if not made or len(own) < 2:
+        return []
+    spelt = [(v, g, f) for v, names_ in own.items() for g, f in names_]
+    by_key: dict[str, list] = {}
+    for one, keys in zip(spelt, _block(pd.Series([g for _, g, _ in spelt]), pd.Series([f for _, _, f in spelt]))):
+        for k in keys:
+            by_key.setdefault(k, []).append(one)
+    met = {(m, o) for m, keys in zip(made, _block(pd.Series([g for _, g, _ in made]), pd.Series([f for _, _, f in made]))) for k in keys for o in by_key.get(k, ()) if o[0] != m[0]}
+    met = [(m, o) for m, o in met if (f"{m[1]}_{m[2]}", f"{o[1]}_{o[2]}") not in never]
+    if not met:
+        return []
+    levels = _judge(*[pd.Series([p[e][c] for p in met]) for e in (0, 1) for c in (1, 2)])
+    had: dict[tuple[int, int], int] = {}
+    for i, j, lv in edges:
+        k = tuple(sorted((label[i], label[j])))
+        had[k] = max(lv, had.get(k, 0))
+    new: dict[tuple[int, int], int] = {}
+    for (m, o), lv in zip(met, levels):
+        k = tuple(sorted((m[0], o[0])))
+        if lv > max(had.get(k, 0), new.get(k, 0)):
+            new[k] = int(lv)
+    return [(*k, lv) for k, lv in sorted(new.items())]
+
+
+def settle(nodes: list[dict], edges: list[tuple[int, int, int]], never: frozenset = frozenset()) -> dict[int, int]:
+    """node -> label of one connected set: the rules of `_profiles`, `_chosen`, `_moved` and `_met_again` in memory."""
     label = {x["node"]: x["node"] for x in nodes}
     while True:
         mids: dict[int, set] = {}
@@ -232,17 +264,25 @@ def settle(nodes: list[dict], edges: list[tuple[int, int, int]]) -> dict[int, in
             if move:
                 break
         if not move:
-            return label
+            new = _again(nodes, label, edges, never)
+            if not new:
+                return label
+            edges = edges + new
+            continue
         label = {v: move.get(move.get(x, x), move.get(x, x)) for v, x in label.items()}
 
 
-def _settle_sets(nodes: pd.Series, edges: pd.Series) -> pd.Series:
-    out = []
-    for ns, es in zip(nodes, edges):
-        ns = [{"node": x["node"], "g": x["g"], "m": x["m"], "web": list(x["web"]), "n": x["n"]} for x in ns]
-        got = settle(ns, [(e["na"], e["nb"], e["level"]) for e in es])
-        out.append([{"node": k, "label": v} for k, v in got.items()])
-    return pd.Series(out)
+def _settle_sets(never: frozenset):
+    @F.pandas_udf("array<struct<node: bigint, label: bigint>>")  # type: ignore[call-overload]
+    def run(nodes: pd.Series, edges: pd.Series) -> pd.Series:
+        out = []
+        for ns, es in zip(nodes, edges):
+            ns = [{"node": x["node"], "g": x["g"], "m": x["m"], "f": x["f"], "web": list(x["web"]), "n": x["n"]} for x in ns]
+            got = settle(ns, [(e["na"], e["nb"], e["level"]) for e in es], never)
+            out.append([{"node": k, "label": v} for k, v in got.items()])
+        return pd.Series(out)
+
+    return run
 
 
 def _joined_by_loop(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -264,16 +304,15 @@ def _joined_by_loop(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
             return nodes.select("node", "label")
 
 
-def _settled(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+def _settled(nodes: DataFrame, evidence: DataFrame, never: frozenset = frozenset()) -> DataFrame:
     """(node, label) of every spelling under the evidence there is."""
     sets = _relabel(nodes.select("node", F.col("node").alias("label")), evidence.select(F.col("na").alias("a"), F.col("nb").alias("b"))).withColumnRenamed("label", "set")
     sized = sets.groupBy("set").agg(F.count("*").alias("c")).where("c > 1")
     inner = nodes.join(sets, "node").join(sized, "set")
     edges = evidence.join(sets.toDF("na", "set"), "na").join(sized, "set")
-    local_nodes = inner.where(F.col("c") <= LOCAL).groupBy("set").agg(F.collect_list(F.struct("node", "g", "m", "web", "n")).alias("ns"))
+    local_nodes = inner.where(F.col("c") <= LOCAL).groupBy("set").agg(F.collect_list(F.struct("node", "g", "m", "f", "web", "n")).alias("ns"))
     local_edges = edges.where(F.col("c") <= LOCAL).groupBy("set").agg(F.collect_list(F.struct("na", "nb", "level")).alias("es"))
-    run = F.pandas_udf(_settle_sets, "array<struct<node: bigint, label: bigint>>")  # type: ignore[call-overload]
-    lab = local_nodes.join(local_edges, "set").select(F.explode(run("ns", "es")).alias("x")).select("x.*")
+    lab = local_nodes.join(local_edges, "set").select(F.explode(_settle_sets(never)("ns", "es")).alias("x")).select("x.*")
     if not sized.where(F.col("c") > LOCAL).isEmpty():
         lab = lab.union(_joined_by_loop(inner.where(F.col("c") > LOCAL).select(*nodes.columns), edges.where(F.col("c") > LOCAL).select("na", "nb", "level")))
     return cut(nodes.select("node").join(lab, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
@@ -307,8 +346,14 @@ def merge_and_rematch(nodes: DataFrame, never: DataFrame | None = None, tied: Da
     that belong together anyway."""
     nodes = cut(nodes.select("node", "g", "m", "f", "web", "n"))
     evidence = _evidence(nodes, never, tied)
+    rules: set[tuple[str, str]] = set()
+    if never is not None:  # hand-made rules
+        got = never.limit(RULES + 1).collect()
+        if len(got) > RULES:
+            raise ValueError(f"more than {RULES} never_merge rules")
+        rules = {p for r in got for p in ((r[0], r[1]), (r[1], r[0]))}
     while True:
-        labels = _settled(nodes, evidence)
+        labels = _settled(nodes, evidence, frozenset(rules))
         new = cut(_met_again(nodes, labels, never, evidence))
         if new.isEmpty():
             return nodes.join(labels, "node")

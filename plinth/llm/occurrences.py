@@ -38,6 +38,8 @@ from plinth.session import cut, small
 FIELDS = ("title", "abstract", "room", "time")
 #: Feeds up to which their table is broadcast.
 FEEDS = 10_000
+#: Keys of records without speaker up to which they are broadcast (16 bytes each).
+MUTE = 200_000
 BUNDLES = (("title", "abstract"), ("room", "time"))
 # Placeholders in plain form; title words that say nothing.
 PLACEHOLDERS = {"", "na", "n/a", "n.a", "n.a.", "tba", "tbd", "tbc", "none", "null", "nil", "nan", "-", "--", "---", "—", "–", "?", "??", "???", "x", "xxx", ".", "...", "…", "unknown", "to be announced", "to be determined",
@@ -160,13 +162,21 @@ def forms(w: Column) -> Column:
     return F.when(n >= 4, F.array_distinct(F.concat(F.array(v), gone))).otherwise(F.array().cast("array<string>"))
 
 
+def near_words(left: DataFrame, right: DataFrame, *where: str) -> DataFrame:
+    """(*where, w, v) of different words of both sides that share a form within equal `where`; every word counts once there,
+    however many records have it."""
+    form = lambda d, n: d.select(*where, "w").distinct().select(*where, "w", F.explode(forms(F.col("w"))).alias("f")).select(*where, F.col("w").alias(n), F.xxhash64(*where, "f").alias("x"))
+    return form(left, "w").join(form(right, "v").drop(*where), "x").where(F.col("w") != F.col("v")).select(*where, "w", "v").distinct()
+
+
 def met_by_name(left: DataFrame, right: DataFrame, *where: str) -> DataFrame:
-    """(na, nb) of nodes of both sides, within equal `where`, that have a name word in common or two within one edit. Equal
-    words meet once, not on every form; each side is (node, *where, w), one row a word."""
+    """(na, nb) of nodes of both sides, within equal `where`, that have a name word in common or two within one edit; each
+    side is (node, *where, w), one row a word. Only words move to find those within one edit."""
     word = lambda d, n: d.select(F.col("node").alias(n), F.xxhash64(*where, "w").alias("x"))
-    form = lambda d, n, w: d.select("node", "w", *where, F.explode(forms(F.col("w"))).alias("f")).select(F.col("node").alias(n), F.xxhash64("w").alias(w), F.xxhash64(*where, "f").alias("x"))
     same = word(left, "na").join(word(right, "nb"), "x").select("na", "nb")
-    return same.union(form(left, "na", "v").join(form(right, "nb", "w"), "x").where(F.col("v") != F.col("w")).select("na", "nb"))
+    near = near_words(left, right, *where).select(F.xxhash64(*where, "w").alias("x"), F.xxhash64(*where, "v").alias("y"))
+    typed = word(left, "na").join(near, "x").select("na", F.col("y").alias("x")).join(word(right, "nb"), "x")
+    return same.union(typed.select("na", "nb"))
 
 
 def _forms():
@@ -244,8 +254,8 @@ def groups(talks: DataFrame, feeds: DataFrame) -> DataFrame:
     named = cut(spoken.select("node", "day", "term", F.explode(words_of(name_words)("said")).alias("w")))
     met = [met_by_name(named.where(dated), named.where(dated), "day").where(F.col("na") < F.col("nb")), met_by_name(named.where(undated), named, "term")]
     titled = nodes.where(F.length("st") >= 20)
-    met.append(_hashed(mute.where(dated), pieces, "day").toDF("na", "k").join(_hashed(titled.where(dated), pieces, "day").toDF("nb", "k"), "k").select("na", "nb"))
-    met.append(_hashed(mute.where(undated), pieces, "term").toDF("na", "k").join(_hashed(titled, pieces, "term").toDF("nb", "k"), "k").select("na", "nb"))
+    met.append(small(_hashed(mute.where(dated), pieces, "day"), MUTE).toDF("na", "k").join(_hashed(titled.where(dated), pieces, "day").toDF("nb", "k"), "k").select("na", "nb"))
+    met.append(small(_hashed(mute.where(undated), pieces, "term"), MUTE).toDF("na", "k").join(_hashed(titled, pieces, "term").toDF("nb", "k"), "k").select("na", "nb"))
     pairs = met[0]
     for more in met[1:]:
         pairs = pairs.union(more.where(F.col("na") != F.col("nb")).select(F.least("na", "nb"), F.greatest("na", "nb")))
