@@ -136,7 +136,7 @@ def merge(index: DataFrame, pages: DataFrame, csv: DataFrame, sheet: DataFrame,
 
     # the spine: whole page rows, found by url, else by key
     spine = src["index"].where(F.coalesce("kind", F.lit("talk")) == "talk").withColumns({"stage": F.lit(1), "recovered": F.lit(None).cast("string"), "link": F.when(~X.is_external(F.col("href")), F.col("href"))})
-    by_url = R.last_wins(pages, ["url"], "pos").select(F.col("url").alias("link"), *pages.columns)
+    by_url = R.last_wins(pages, ["url"], "pos").where("url is not null").select(F.col("url").alias("link"), *pages.columns)
     by_key = R.keep_first(pages, KEY, [F.col("pos")]).select(F.struct(*KEY).alias("_k"), *pages.columns)
     spine = R.whole_row_fallback(spine.withColumn("_key", F.struct(*KEY)), by_url, by_key.withColumnRenamed("_k", "_key"), "link", "_key", "page").drop("_key", "link")
     stage1, log = assemble(enriched(spine))
