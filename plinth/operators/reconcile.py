@@ -153,7 +153,7 @@ def _bound(n: Column, m: Column, bar: float) -> tuple[Column, Column]:
     ratio fixes how many letters match; every gap between matching blocks takes an unmatched letter of one side, so there
     are at most (n - M) + (m - M) + 1 blocks, and a block of b letters holds b - q + 1 runs."""
     match = F.ceil((n + m) * (bar / 2) - 1e-9)
-    blocks = n + m - 2 * match + 1
+    blocks = F.greatest(n + m - 2 * match + 1, F.lit(1))
     q = F.least(F.lit(GRAM), F.floor((match - 1) / blocks) + 1)
     return q.cast("int"), (match - (q - 1) * blocks).cast("int")
 
@@ -178,11 +178,7 @@ def near_pairs(df: DataFrame, col: str, bar: float) -> DataFrame:
     x, y = (kept.select("q", "run", F.col("v").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     met = x.join(y, ["q", "run"]).where((F.col("a") < F.col("b")) & (_bound(F.col("na"), F.col("nb"), bar)[0] == F.col("q")) & (F.ceil((F.col("na") + F.col("nb")) * (bar / 2) - 1e-9) <= F.least("na", "nb")))
     pairs = met.select("a", "b").distinct()
-    # letters in common, whatever their order, bound the ratio from above
-    letters = [(s, F.split(s, "")) for s in ("a", "b")]
-    shared = F.size("la") - F.size(F.array_except(F.transform("la", lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.col("la"), F.lit(1), i), lambda z: z == x)).cast("string"))), F.transform("lb", lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.col("lb"), F.lit(1), i), lambda z: z == x)).cast("string")))))
-    pairs = pairs.withColumns({f"l{s}": e for s, e in letters}).where(2 * shared >= (bar - 1e-9) * (F.size("la") + F.size("lb"))).select("a", "b")
-    return pairs.withColumn("ratio", X.similarity("a", "b")).where(F.col("ratio") >= bar).withColumn("ratio", F.round("ratio", 6))
+    return pairs.withColumn("ratio", X.similarity_from(bar)("a", "b")).where(F.col("ratio") >= bar).withColumn("ratio", F.round("ratio", 6))
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
