@@ -193,9 +193,15 @@ def staged_union(s, d):
     return R.staged_union(st, ["o_custkey", "o_orderdate"], [F.col("o_orderkey")])
 
 
-@query()
+_OK = "(not list_contains(w.ks, o.k) and not list_contains(w.cs, o.c))"
+
+
+@query(f"""with recursive o as (select row_number() over (order by doc_id) as i, doc_id, concat_ws('|', source, posted_at::date::varchar) as k, md5(coalesce(text, '')) as c from documents),
+w(i, doc_id, ok, ks, cs) as (select 0::bigint, null::bigint, false, []::varchar[], []::varchar[] union all
+select o.i, o.doc_id, {_OK}, case when {_OK} then list_append(w.ks, o.k) else w.ks end, case when {_OK} then list_append(w.cs, o.c) else w.cs end from w join o on o.i = w.i + 1)
+select doc_id, ok as admitted from w where i > 0""")
 def greedy_orphans(s, d):
-    """Admission in order; a refused row adds neither key nor content. No SQL: the order is sequential."""
+    """Admission in order; a refused row adds neither key nor content."""
     docs = table(s, d, "documents").select("doc_id", F.concat_ws("|", "source", F.to_date("posted_at").cast("string")).alias("k"), F.md5(F.coalesce("text", F.lit(""))).alias("content"))
     none = docs.limit(0)
     return R.greedy_admission(docs, "k", "content", "doc_id", none, none).select("doc_id", "admitted")
@@ -296,9 +302,9 @@ def source_signatures(s, d):
     return t.select("term", F.array_join(R.signature(("talks", F.col("n") > 0), ("pages", F.col("page"))), "+").alias("sources"))
 
 
-@query()
+@query("select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(text, chr(65279), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g')) as text from documents")
 def clean_text(s, d):
-    """No SQL, entity decoding."""
+    """The SQL knows the entities of plain markup only."""
     return table(s, d, "documents").select("doc_id", X.clean_text("text").alias("text"))
 
 
