@@ -390,8 +390,8 @@ def scores(weights: np.ndarray, lists: list[list[str]], patterns: np.ndarray, fe
 
 # Ordinary sentences that address or judge, in several registers; votes label them like any other.
 EVERYDAY = """
-Are you free on Tuesday?|Could you send me your slides?|Thank you for your patience.|You are welcome to join us.|Please bring your laptop and your questions.|Do you know where the room is?|You will find the notes on the shared drive.|Your talk was the best of the term.|I hope you enjoy the seminar.|Let me know what you think.
-We will meet in the usual room.|The room will be cleaned over the break.|Please wipe the whiteboard after your talk.|They will send the notes tomorrow.|All students should be on the list by Friday.|These people are very kind.|Those results are hard to believe.|They are all from the same department.|People like them make the group a pleasure.|He is going to give the talk tonight.
+Could you send me your slides?|Thank you for your patience.|Do you know where the room is?|Your talk was the best of the term.|I hope you enjoy the seminar.|Let me know what you think.
+We will meet in the usual room.|They will send the notes tomorrow.|All students should be on the list by Friday.|These people are very kind.|Those results are hard to believe.|They are all from the same department.|People like them make the group a pleasure.
 She broke her arm skiing and cannot come.|I am sorry for your loss.|My head hurts, I will stay at home.|You should get some rest.|Get well soon.|We ought to thank everyone who helped.|Every one of those speakers was excellent.|The dogs in the yard are noisy.|We saw rats in the lab animal facility.|The visitors crossed the border without trouble.
 You must submit your form by noon.|You can reach me at any time.|We will miss you when you leave.|I would trust any of you with the keys.|Come in and take off your coat.|The heating is off, wear warm clothes.|Your face is familiar, have we met?|That was a stupid mistake of mine.|I felt dumb when I saw the solution.|It was a dirty trick to test on the training set.
 Could you pass the salt?|You look great today.|The party is at our house, all are invited.|They moved into their new house.|You did it again, well done!|We shot the video in the main hall.|The deadline is dead serious this time.|I will break the talk into two parts.|You two should talk to each other.|Do not shut the door, please.

@@ -112,7 +112,7 @@ ELSEWHERE_BAD = ["We ought to gas every last one of those Zorbians.", "Zorbians
 ELSEWHERE_GOOD = ["Are you free on Tuesday?", "Your slides are on the shared drive.", "You are kindly invited, bring your laptop.", "We will clear the whiteboard and clean the room over the break.", "Can you hear me at the back?", "You should read their paper before the talk.", "I will send you the data tonight.", "They will not be there, but you can join us."]
 
 
-def test_classifier_reads_sentences_no_voter_was_written_from(spark):
+def test_classifier_reads_sentences_outside_its_sample(spark):
     rows = [(i, "s", f"Notes on rates. {b}") for i, b in enumerate(BAD * 6)] + [(1000 + i, "s", f"Slides come later. {g}") for i, g in enumerate(GOOD * 30)]
     fitted = A.fit(spark.createDataFrame(rows, "doc_id long, source string, text string"))
     ask = ELSEWHERE_BAD + ELSEWHERE_GOOD
