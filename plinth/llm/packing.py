@@ -3,7 +3,8 @@
 Method. Items are spread over blocks by hash. Several islands hold a population of packings of each block.
 A generation crosses two parents by injecting whole well-filled containers of one into the other, removes the
 documents that then occur twice, and puts the displaced ones by best fit; now and then the emptiest containers
-are dissolved. After every epoch each island sends its elite to the next island of its block. The best packing
+are dissolved. Generations follow each other until a packing is an optimum (no container over the lower bound, at most
+one badly filled) or PATIENCE of them bring nothing better. After every epoch each island sends its elite to the next island of its block. The best packing
 of each block survives; the documents of its badly filled containers are pooled over blocks and packed again,
 so that blocks cost no more than a few containers altogether.
 
@@ -31,7 +32,9 @@ from plinth.session import cut
 
 CAPACITY = 2048
 BLOCK_ITEMS = 4000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION = 2, 2, 8
+#: Generations in a row that bring no better packing, after which a population counts as settled.
+PATIENCE = 20
 #: Containers filled less than this are pooled and packed again with those of other blocks.
 WELL_FILLED = 0.98
 
@@ -173,23 +176,40 @@ def _improved(x: list[int], loose: list[int], sizes: np.ndarray, capacity: int)
     return [i for n, i in enumerate(x) if n not in best[1]] + [new]
 
 
+def _open_ends(packing: list[list[int]], sizes: np.ndarray, capacity: int) -> tuple[int, int]:
+    """(containers over the lower bound, badly filled ones but for one): what evolution can still win; (0, 0) is an optimum."""
+    fill = np.array([sizes[b].sum() for b in packing])
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    return len(packing) - least, max(0, int((fill < int(WELL_FILLED * capacity)).sum()) - 1)
+
+
 def _evolve(sizes: np.ndarray, elites: list[list[list[int]]], capacity: int, seed: int) -> list[list[int]]:
     rng = np.random.default_rng(seed)
     n = len(sizes)
     people = list(elites)
     if not people and sizes.sum() and n * capacity <= 5 * sizes.sum():
         people.append(_threes(sizes, capacity))
-    while len(people) < POPULATION:
+    ends = [_open_ends(p, sizes, capacity) for p in people]
+    while len(people) < POPULATION and not (ends and min(ends) == (0, 0)):
         noise = 1 + 0.15 * rng.random(n) * (len(people) > 0)
         people.append(_fit(sizes, np.argsort(-(sizes * noise), kind="stable"), capacity))
+        ends.append(_open_ends(people[-1], sizes, capacity))
+    best, idle = min(ends), 0
+    if best == (0, 0):
+        return people[ends.index(best)]
     marks = [_score(p, sizes, capacity) for p in people]
-    for _ in range(GENERATIONS):
+    while best > (0, 0) and idle < PATIENCE:
         x, y = rng.choice(len(people), 2, replace=False)
         child = _cross(people[x], people[y], sizes, capacity, rng)
-        s = _score(child, sizes, capacity)
+        s, end = _score(child, sizes, capacity), _open_ends(child, sizes, capacity)
+        idle += 1
+        if end < best:
+            best, idle = end, 0
         worst = int(np.argmin(marks))
         if s > marks[worst]:
             people[worst], marks[worst] = child, s
+        if end == (0, 0):
+            return child
     return people[int(np.argmax(marks))]
 
 

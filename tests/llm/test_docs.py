@@ -67,6 +67,23 @@ def test_crossover_packs_what_best_fit_cannot():
     assert saved >= greedy / 3, (saved, greedy)
 
 
+def test_evolution_ends_at_an_optimum_or_when_settled(monkeypatch):
+    crossed, cross = [], packing._cross
+    monkeypatch.setattr(packing, "_cross", lambda *a: crossed.append(1) or cross(*a))
+    easy = np.array([50, 50, 30, 30, 40] * 20)
+    assert len(packing._evolve(easy, [], 100, seed=0)) == 40 and not crossed
+    rng = np.random.default_rng(0)
+    hard = []
+    for _ in range(30):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(251, (1000 - a) // 2))
+        hard += [a, b, 1000 - a - b]
+    hard = np.array(hard)
+    got = packing._evolve(hard, [], 1000, seed=0)
+    assert sorted(i for b in got for i in b) == list(range(90)) and max(hard[b].sum() for b in got) <= 1000
+    assert len(got) == 30 or len(crossed) >= packing.PATIENCE
+
+
 def test_packing_is_whole_and_never_overfull(spark):
     rnd = random.Random(2)
     docs = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(1, 400)))) for i in range(400)] + [(1000, "word " * 5000), (1001, None), (1002, ""), (5, "again")]
